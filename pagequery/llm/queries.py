@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, urlfilter
-from .common import LOWER, UPPER, table
+from . import bpe, langid, linededup, simhash, urlfilter
+from .common import LOWER, UPPER, fold, pick, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -15,6 +15,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, urlfilter.fit(urlfilter.LABELLED))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = pick(docs, "doc_id", "text", "lang")
+    prototypes = langid.learn(rows.filter(fold() != 0))
+    out = langid.identify(rows, prototypes)
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     kept = linededup.kept_text(F.col("text"), F.col("keep"))
@@ -28,6 +36,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def _url_sql() -> str:
     weights, bias = urlfilter.fit(urlfilter.LABELLED)
     rules = sorted(URL_RULES, key=lambda r: -len(r[0]))
@@ -60,7 +73,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY rid, doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op5_line_dedup, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op5_line_dedup, op7_byte_bpe, op8_simhash_dedup)}
 
 
 def sql() -> dict[str, str]:
