@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, simhash, urlfilter
+from . import ann, bpe, langid, linededup, simhash, urlfilter
 from .common import LOWER, UPPER, fold, pick, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -41,6 +41,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def _url_sql() -> str:
     weights, bias = urlfilter.fit(urlfilter.LABELLED)
     rules = sorted(URL_RULES, key=lambda r: -len(r[0]))
@@ -73,8 +78,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY rid, doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op5_line_dedup, op7_byte_bpe, op8_simhash_dedup)}
+NEAREST_SQL = """
+WITH rows AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op5_line_dedup, op7_byte_bpe, op8_simhash_dedup, op10_nearest)}
 
 
 def sql() -> dict[str, str]:
-    return {"op2_url_filter": _url_sql(), "op5_line_dedup": LINES_SQL}
+    return {"op2_url_filter": _url_sql(), "op5_line_dedup": LINES_SQL, "op10_nearest": NEAREST_SQL}
