@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, linededup, simhash, urlfilter
+from . import ann, bpe, langid, linededup, simhash, substring, urlfilter
 from .common import LOWER, UPPER, fold, pick, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -29,6 +29,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"), width=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,7 +92,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op5_line_dedup, op7_byte_bpe, op8_simhash_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op5_line_dedup, op6_substring_dedup, op7_byte_bpe, op8_simhash_dedup, op10_nearest)}
 
 
 def sql() -> dict[str, str]:
