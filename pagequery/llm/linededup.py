@@ -80,7 +80,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     never count); with keep_first its first occurrence in the corpus stays.
     """
     lines = written(line_hashes(docs, key, text, min_chars), "lines")
-    frequent = line_counts(lines).filter(F.col("n_docs") >= min_docs)
+    # written first: with exchanges alone on both sides Spark can split a hot line's partition, or broadcast a small table
+    frequent = written(line_counts(lines).filter(F.col("n_docs") >= min_docs), "frequent")
     gone = lines.join(frequent, ["h1", "h2"])
     if keep_first:
         gone = gone.filter(F.struct("_d1", "_d2", "pos") != F.col("first"))
