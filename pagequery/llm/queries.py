@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, linededup, simhash, substring, urlfilter
+from . import ann, bpe, decontaminate, langid, linededup, simhash, substring, urlfilter
 from .common import LOWER, UPPER, fold, pick, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -23,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     kept = linededup.kept_text(F.col("text"), F.col("keep"))
@@ -92,7 +96,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op5_line_dedup, op6_substring_dedup, op7_byte_bpe, op8_simhash_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op4_decontaminate, op5_line_dedup, op6_substring_dedup, op7_byte_bpe, op8_simhash_dedup, op10_nearest)}
 
 
 def sql() -> dict[str, str]:
