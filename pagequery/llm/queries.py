@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, linededup, simhash, substring, urlfilter
+from . import ann, bpe, decontaminate, langid, linededup, quality, simhash, substring, urlfilter
 from .common import LOWER, UPPER, fold, pick, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("learnable", fold() != 0)
+    out = quality.classify(docs, table(spark, sf_dir, "labels"), "learnable")
+    return out.select("doc_id", (~F.col("learnable")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, urlfilter.fit(urlfilter.LABELLED))
 
@@ -96,7 +102,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op4_decontaminate, op5_line_dedup, op6_substring_dedup, op7_byte_bpe, op8_simhash_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_language_id, op4_decontaminate, op5_line_dedup, op6_substring_dedup, op7_byte_bpe, op8_simhash_dedup, op10_nearest)}
 
 
 def sql() -> dict[str, str]:
