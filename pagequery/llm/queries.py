@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, linededup, quality, simhash, substring, urlfilter
+from . import ann, bpe, decontaminate, langid, linededup, lmscore, quality, simhash, substring, urlfilter
 from .common import LOWER, UPPER, fold, pick, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -56,6 +56,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("held_out", fold() == 1)
+    return lmscore.score_texts(docs, docs.filter(~F.col("held_out")), ("doc_id", "held_out"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -102,7 +107,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_language_id, op4_decontaminate, op5_line_dedup, op6_substring_dedup, op7_byte_bpe, op8_simhash_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_language_id, op4_decontaminate, op5_line_dedup, op6_substring_dedup, op7_byte_bpe, op8_simhash_dedup, op9_lm_score, op10_nearest)}
 
 
 def sql() -> dict[str, str]:
