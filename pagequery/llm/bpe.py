@@ -60,8 +60,8 @@ def encode_text(enc, text: str) -> np.ndarray:
     return np.concatenate([one(x) for x in pieces(text)])
 
 
-def encode_decode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the key, ``ids`` array<int> and ``decoded`` binary (the bytes that the ids stand for)."""
+def encode_decode(docs: DataFrame, rank_file: str, pattern: str, key: str | tuple[str, ...] = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: the key columns, ``ids`` array<int> and ``decoded`` binary (the bytes that the ids stand for)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((load_ranks(rank_file), pattern))
 
@@ -77,7 +77,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc
 
         return f
 
-    return map_text(pick(docs, key, text), "ids array<int>, decoded binary", make, text)
+    return map_text(pick(docs, *([key] if isinstance(key, str) else key), text), "ids array<int>, decoded binary", make, text)
 
 
 def ids_digest(ids: Column) -> Column:

@@ -79,13 +79,18 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
-def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[list, dict], dict]], text: str = "text") -> DataFrame:
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns named by position, so that columns added to it clash with none, and its own names."""
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))]), list(df.columns)
+
+
+def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[list, dict], dict]], text: str = "text", keep_text: bool = False) -> DataFrame:
     """mapInArrow over the rows of df: make() runs once a task and gives f(texts as bytes or None, other columns).
 
     f returns the columns to append (lists, numpy or Arrow arrays); the columns of df other than
-    the text come first in the result, unchanged.
+    the text (with keep_text, all) come first in the result, unchanged.
     """
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if keep_text or c != text]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, pick, text_bytes
+from .common import map_text, parts_for, pick, text_bytes
 from .wordhash import ALNUM, LOWERED, hash_texts, window_hashes
 
 K1, B = 1.2, 0.75
@@ -214,19 +214,45 @@ def leaks(index: Index, h: np.ndarray, starts: np.ndarray, threshold: float, ove
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", question: str = "text", answer: str | None = None) -> DataFrame:
     """key, item_id, score, question_overlap, answer_overlap: a row for every leaked item of every text."""
     docs = pick(docs, key, text)
+    out = None
+    for shared, kind in _shards(items, width, item_key, question, answer):
+        found = _scan(docs, shared, threshold, overlap, key, text, item_key, kind)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def count_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.8, width: int = 5, text: str = "text", item_key: str = "item_id", question: str = "text", answer: str | None = None, out: str = "leaks") -> DataFrame:
+    """docs with one more column, the number of items that leaked into the row's text; no shuffle."""
+    total = None
+    for shared, _ in _shards(items, width, item_key, question, answer):
+        def make(shared=shared):
+            def f(texts, _):
+                n = np.zeros(len(texts), np.int64)
+                for at in range(0, len(texts), 512):
+                    h, starts = hash_texts(texts[at : at + 512], ALNUM, LOWERED)
+                    for index in shared.value:
+                        np.add.at(n, [at + i for i, _ in leaks(index, h, starts, threshold, overlap)], 1)
+                return {"_n": n}
+
+            return f
+
+        docs = map_text(docs, "_n bigint", make, text, keep_text=True)
+        total = F.col("_n") if total is None else F.col(out) + F.col("_n")
+        docs = docs.withColumn(out, total).drop("_n")
+    return docs
+
+
+def _shards(items: DataFrame, width: int, item_key: str, question: str, answer: str | None):
+    """Broadcast indexes of each shard, and the type of the item key."""
     names = [item_key, question] + ([answer] if answer else [])
     items = pick(items, *names)
     shards = parts_for(text_bytes(items, question) + (text_bytes(items, answer) if answer else 0), SHARD_BYTES)
     kind = items.schema[item_key].dataType.simpleString()
-    out = None
     for s in range(shards):
         rows = items.filter(F.pmod(F.xxhash64(*names), F.lit(shards)) == s).collect()  # bounded by SHARD_BYTES
         rows = [(r[0], *((r[1], r[2]) if answer else split_item(r[1] or ""))) for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))]
         parts = parts_for(sum(len(q or "") + len(a or "") for _, q, a in rows), INDEX_BYTES)
-        shared = docs.sparkSession.sparkContext.broadcast([build_index(rows[k::parts], width) for k in range(parts)])
-        found = _scan(docs, shared, threshold, overlap, key, text, item_key, kind)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield items.sparkSession.sparkContext.broadcast([build_index(rows[k::parts], width) for k in range(parts)]), kind
 
 
 def _scan(docs: DataFrame, shared, threshold: float, overlap: float, key: str, text: str, item_key: str, kind: str) -> DataFrame:

@@ -134,8 +134,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return dict(sorted(out.items()))
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Per row: the key columns, lang_pred and score (the cosine with that language's prototype, cut to 0..1)."""
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: tuple[str, ...] = ("doc_id",), text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Per row: the key columns (with keep_text the text too), lang_pred and score (the cosine with that language's prototype, cut to 0..1)."""
     names = list(prototypes)
     unit = np.array([v / max(np.linalg.norm(v), 1e-300) for v in prototypes.values()]).reshape(len(names), DIM)
     shared = docs.sparkSession.sparkContext.broadcast((names, unit))
@@ -154,4 +154,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: tuple[str,
 
         return f
 
-    return map_text(pick(docs, *key, text), "lang_pred string, score double", make, text)
+    return map_text(pick(docs, *key, text), "lang_pred string, score double", make, text, keep_text)
