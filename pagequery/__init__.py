@@ -1,0 +1,6 @@
+"""Declarative extraction from web pages and text, compiled to Spark plans."""
+
+from .config import Config, ConfigError, load_config
+from .api import Engine, capabilities, extract, run_offline, version
+
+__all__ = ["Config", "ConfigError", "Engine", "capabilities", "extract", "load_config", "run_offline", "version"]
