@@ -13,8 +13,8 @@ from ..operators.index import elements
 @udtf(returnType="seq int, tag string, open int, inner int, close int, `end` int, html string")
 class HtmlElements:
     def eval(self, html: str) -> Iterator[tuple]:
-        for seq, e in enumerate(elements(html or "")):
-            yield seq, e.tag, e.open, e.inner, e.close, e.end, html[e.open : e.end]
+        for e in elements(html or ""):
+            yield e.seq, e.tag, e.open, e.inner, e.close, e.end, html[e.open : e.end]
 
 
 def register(spark: SparkSession) -> list[str]:

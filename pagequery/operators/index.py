@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .selector import Selector, attributes, lower, matches
+from .selector import Selector, attributes, lower, matches, needles
 
 # Element names with their closing rules.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,21 +26,25 @@ CLOSES = {
     "tr": frozenset(("tr", "td", "th")), "option": frozenset(("option",)), "optgroup": frozenset(("option", "optgroup")), "thead": _SECTIONS, "tbody": _SECTIONS, "tfoot": _SECTIONS,
 } | dict.fromkeys(HEADINGS, HEADINGS)
 
-_OPENING = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([A-Za-z][A-Za-z0-9_:\-]*))")
+#: A whole open tag (name, rest), else the start of another construct: close tag (name), comment, CDATA, declaration, unfinished open tag.
+_TOKEN = re.compile(r"""<(?:([A-Za-z][A-Za-z0-9_:\-]*+)((?:[^'">]|"[^"]*"|'[^']*')*+)>|/([A-Za-z][A-Za-z0-9_:\-]*+)|(!--)|(!\[CDATA\[)|([!?])|([A-Za-z]))""")
 _TAG_END = re.compile(r"""(?:[^'">]|"[^"]*"|'[^']*')*+>""")
 _ANY_TAG = re.compile(r"<[A-Za-z]")
 _RAW_CLOSE = {name: re.compile(f"</{name}", re.I | re.A) for name in ("script", "style")}
 _BLANKS = " \t\n\r\f\v"
 
 
-@dataclass(frozen=True, slots=True)
-class Element:
+class Element(NamedTuple):
     tag: str
     open: int
     open_gt: int
-    inner: int
     close: int
     end: int
+    seq: int
+
+    @property
+    def inner(self) -> int:
+        return self.open_gt + 1
 
 
 def _skip(html: str, what: str, at: int) -> int:
@@ -47,64 +52,84 @@ def _skip(html: str, what: str, at: int) -> int:
     return len(html) if found < 0 else found + len(what)
 
 
-def _self_closing(html: str, name_end: int, gt: int) -> bool:
-    return html[name_end:gt].rstrip(_BLANKS).endswith("/")
+_NAMES: dict[str, str] = {}
+
 
+def _lowered(name: str) -> str:
+    if len(_NAMES) > 4096:
+        _NAMES.clear()
+    return _NAMES.setdefault(name, lower(name))
 
-def elements(html: str) -> list[Element]:
+
+def elements(html: str, tags: frozenset[str] | None = None) -> list[Element]:
+    """All elements in the order in which they close, or only those with the given tags; seq counts all."""
     out: list[Element] = []
     stack: list[tuple[str, int, int]] = []
-    n, at = len(html), 0
-
-    def close_top(where: int) -> None:
-        tag, start, gt = stack.pop()
-        out.append(Element(tag, start, gt, gt + 1, where, where))
-
-    while m := _OPENING.search(html, at):
-        start = m.start()
-        if m[1]:
-            at = _skip(html, "-->", start + 4)
-            continue
-        if m[2]:
-            at = _skip(html, "]]>", start + 9)
-            continue
-        if m[3]:
-            at = _skip(html, ">", start + 2)
-            continue
-        tag, name_end = lower(m[5]), m.end()
-        end = _TAG_END.match(html, name_end)
-        if m[4]:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), -1)
-            if depth < 0:
-                at = _skip(html, ">", name_end)
-                continue
-            at = end.end() if end else n
-            while len(stack) > depth + 1:
-                close_top(start)
-            _, opened, gt = stack.pop()
-            out.append(Element(tag, opened, gt, gt + 1, start, at))
-            continue
-        if not end:
-            break
-        gt, at = end.end() - 1, end.end()
-        alone = _self_closing(html, name_end, gt)
-        if tag in _RAW_CLOSE and not alone:
-            found = _RAW_CLOSE[tag].search(html, at)
-            if not found:
-                out.append(Element(tag, start, gt, gt + 1, n, n))
+    n, at, seq = len(html), 0, 0
+    names, void, raw = _NAMES, VOID, _RAW_CLOSE
+
+    def emit(tag: str, start: int, gt: int, close: int, end: int) -> None:
+        nonlocal seq
+        if tags is None or tag in tags:
+            out.append(Element(tag, start, gt, close, end, seq))
+        seq += 1
+
+    running = True
+    while running:
+        running = False
+        for m in _TOKEN.finditer(html, at):
+            kind = m.lastindex
+            if kind == 2:
+                name, rest = m.group(1, 2)
+                tag = names.get(name) or _lowered(name)
+                start, after = m.span()
+                alone = bool(rest) and rest[-1] in "/ \t\n\r\f\v" and rest.rstrip(_BLANKS).endswith("/")
+                if alone or tag in void:
+                    emit(tag, start, after - 1, after, after)
+                elif tag in raw:
+                    found = raw[tag].search(html, after)
+                    if not found:
+                        emit(tag, start, after - 1, n, n)
+                        break
+                    tail = _TAG_END.match(html, found.end())
+                    at = tail.end() if tail else n
+                    emit(tag, start, after - 1, found.start(), at)
+                    running = True
+                    break
+                else:
+                    if stack:
+                        closes = CLOSES.get(tag, ())
+                        while stack and (stack[-1][0] in closes or (stack[-1][0] == "p" and tag in ENDS_PARAGRAPH)):
+                            emit(*stack.pop(), start, start)
+                    stack.append((tag, start, after - 1))
+            elif kind == 3:
+                tag = names.get(m[3]) or _lowered(m[3])
+                start, after = m.span()
+                if html.startswith(">", after):
+                    end = after + 1
+                elif any(s[0] == tag for s in stack):
+                    tail = _TAG_END.match(html, after)
+                    end = tail.end() if tail else n
+                else:
+                    end = _skip(html, ">", after)
+                depth = len(stack) - 1
+                while depth >= 0 and stack[depth][0] != tag:
+                    depth -= 1
+                if depth >= 0:
+                    while len(stack) > depth + 1:
+                        emit(*stack.pop(), start, start)
+                    emit(*stack.pop(), start, end)
+                if end != after + 1:
+                    at, running = end, True
+                    break
+            elif kind == 7:  # an open tag without an end stops the scan
+                break
+            else:
+                at = _skip(html, {4: "-->", 5: "]]>", 6: ">"}[kind], m.end())
+                running = True
                 break
-            tail = _TAG_END.match(html, found.end())
-            at = tail.end() if tail else n
-            out.append(Element(tag, start, gt, gt + 1, found.start(), at))
-        elif alone or tag in VOID:
-            out.append(Element(tag, start, gt, gt + 1, gt + 1, gt + 1))
-        else:
-            closes = CLOSES.get(tag, ())
-            while stack and (stack[-1][0] in closes or (stack[-1][0] == "p" and tag in ENDS_PARAGRAPH)):
-                close_top(start)
-            stack.append((tag, start, gt))
     while stack:
-        close_top(n)
+        emit(*stack.pop(), n, n)
     return out
 
 
@@ -144,12 +169,13 @@ def select(html: str | None, wanted: list[Wanted]) -> list[list[dict]]:
     live = [k for k, w in enumerate(wanted) if not w.selector.empty]
     if not html or not live:
         return out
+    hints = [needles(w.selector) for w in wanted]
     by_tag: dict[str, list[int]] = {}
     anywhere = [k for k in live if not wanted[k].selector.tag]
     for k in live:
         if wanted[k].selector.tag:
             by_tag.setdefault(wanted[k].selector.tag, []).append(k)
-    for seq, e in enumerate(elements(html)):
+    for e in elements(html, None if anywhere else frozenset(by_tag)):
         asked = by_tag.get(e.tag, ()) if not anywhere else sorted([*by_tag.get(e.tag, ()), *anywhere])
         attrs = None
         for k in asked:
@@ -157,11 +183,13 @@ def select(html: str | None, wanted: list[Wanted]) -> list[list[dict]]:
             if not w.multiple and out[k]:
                 continue
             if not w.selector.bare:
+                if not all(html.find(x, e.open, e.open_gt) >= 0 for x in hints[k]):
+                    continue
                 attrs = attributes(html[e.open : e.open_gt + 1]) if attrs is None else attrs
                 if not matches(w.selector, e.tag, attrs):
                     continue
             span = html[e.open : e.end] if w.html or w.attributes else ""
-            row = {f"a{i}": attribute(span, name) for i, name in enumerate(w.attributes)} | {"seq": seq}
+            row = {f"a{i}": attribute(span, name) for i, name in enumerate(w.attributes)} | {"seq": e.seq}
             if w.html:
                 row["html"] = span
             out[k].append(row)

@@ -98,6 +98,11 @@ def attributes(open_tag: str) -> list[tuple[str, str]]:
     return out
 
 
+def needles(s: Selector) -> list[str]:
+    """Texts that the open tag of any match holds: a cheap test before its attributes are lexed."""
+    return [x for x in (s.id, *s.classes, *(v for _, v in s.attributes if v)) if x]
+
+
 def matches(s: Selector, tag: str, attrs: list[tuple[str, str]]) -> bool:
     if s.tag and s.tag != tag:
         return False
