@@ -27,7 +27,7 @@ def print_double(x: Column) -> Column:
 
 def _engine_text(c: Column, kind) -> Column:
     if isinstance(kind, BooleanType):
-        return F.when(c, "true").otherwise("false")
+        return F.when(c, "true").when(~c, "false")
     return print_double(c) if isinstance(kind, (DoubleType, FloatType)) else c.cast("string")
 
 
@@ -40,7 +40,7 @@ def engine_flat(c: Column, kind) -> Column:
 
 def _python_text(c: Column, kind) -> Column:
     if isinstance(kind, BooleanType):
-        return F.when(c, "True").otherwise("False")
+        return F.when(c, "True").when(~c, "False")
     return F.when(c == F.floor(c), F.concat(c.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(c.cast("string")) if isinstance(kind, DoubleType) else c.cast("string")
 
 
