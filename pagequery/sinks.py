@@ -102,7 +102,7 @@ def write(df: DataFrame, path: str, fmt: str | None = None, columns: list[str] |
     if kind in ("json", "jsonl"):
         writer.option("ignoreNullFields", "false").json(path)
     elif kind == "csv":
-        flatten(df, columns, engine=True).write.mode(mode).option("header", "true").option("escape", '"').option("emptyValue", "").option("nullValue", "").option("sep", delimiter).csv(path)
+        flatten(df, columns, engine=True).write.mode(mode).option("header", "true").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("nullValue", "").option("sep", delimiter).csv(path)
     elif kind == "txt":
         text_records(df, columns).write.mode(mode).text(path)
     else:

@@ -87,7 +87,7 @@ def test_sinks(spark, tmp_path):
     for fmt in ("parquet", "csv", "jsonl", "txt"):
         write(df, str(tmp_path / fmt), fmt)
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
-    assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv")).filter("i = '2'").first()["s"] == 'q"u,o\n'
+    assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(str(tmp_path / "csv")).filter("i = '2'").first()["s"] == 'q"u,o\n'
     assert write_file(df, str(tmp_path / "one.json"))["records"] == 2 and len(json.loads((tmp_path / "one.json").read_text())) == 2
     assert write_file(df, str(tmp_path / "one.csv"), columns=["i", "zz"])["records"] == 2 and (tmp_path / "one.csv").read_text().startswith("i,zz\n1,\n")
     assert (detect_format("x.ndjson"), detect_format("x", "pq")) == ("jsonl", "parquet")
