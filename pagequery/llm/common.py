@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -22,8 +24,20 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of one Arrow batch to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch, so that a worker's memory doesn't follow the length of texts (a single longer text still is one batch)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub("[^0-9-]", "", spark.conf.get(name))) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns by exact spelling; whatever else df holds (also names that differ only in case) is left out."""
+    bound_batches(df.sparkSession)
     where = {}
     for i, c in enumerate(df.columns):
         where.setdefault(c, i)
@@ -37,14 +51,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='pagequery-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-        atexit.register(_delete, spark, where)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='pagequery-')}"
+            atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), True)
+        where = _OWN[app]
     return where.rstrip("/")
 
 
+#: Local folders of applications whose session names no shared one.
+_OWN: dict[str, str] = {}
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -81,6 +101,7 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
 
 def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """df with columns named by position, so that columns added to it clash with none, and its own names."""
+    bound_batches(df.sparkSession)
     return df.toDF(*[f"__c{i}" for i in range(len(df.columns))]), list(df.columns)
 
 

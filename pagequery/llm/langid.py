@@ -23,7 +23,7 @@ from .common import map_text, pick
 
 DIM = 512
 ORDER = 3
-OTHER = 37
+OTHER = 21
 LETTERS = 27 + OTHER
 SEED = 20240229
 #: Characters, and texts, that are handled at once; a longer text is cut into pieces (an n-gram across a cut becomes two at a boundary).
