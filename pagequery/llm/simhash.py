@@ -8,6 +8,11 @@ counts differ by more than the radius skipped. A block value with more than TILE
 different tasks, each pair of tiles once. A tile pair returns a spanning forest of its links, never
 all of them; components are then joined up by components().
 
+Wider fingerprints (``words`` > 1) serve lower similarities: further words come from the same shingle hashes, mixed with other
+constants. At a radius of a sixth of all bits no cut into blocks is lossless, so blocks of BLOCK_BITS bits are used: two
+texts whose bits differ with probability p share one of 64 * words / BLOCK_BITS blocks with probability
+1 - (1 - (1 - p) ** BLOCK_BITS) ** blocks, 0.996 at 256 bits and a shingle similarity of 0.8, and more above.
+
 Null and blank texts have fingerprint zero and link like any other. Rows repeated whole stay as rows.
 """
 
@@ -23,11 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import map_text, pick, written
 from .components import components
+from .wordhash import mix
 
 SEED = 42
 TILE = 4096
 #: Rows of one numpy comparison.
 CHUNK = 512
+BLOCK_BITS = 10
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -64,8 +71,23 @@ def fold_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int, key: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Key columns and fp, the fingerprint as a signed 64-bit number."""
+def wide_bits(hashes: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """A row of words fingerprints for each run of hashes."""
+    with np.errstate(over="ignore"):
+        each = [hashes] + [mix(hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)) for k in range(1, words)]
+    return np.column_stack([fold_bits(h, counts) for h in each])
+
+
+def blocks_of(bits: np.ndarray) -> np.ndarray:
+    """Numbers of the blocks of each row: place and value in one."""
+    flat = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little")
+    n = flat.shape[1] // BLOCK_BITS
+    values = flat[:, : n * BLOCK_BITS].reshape(len(bits), n, BLOCK_BITS) @ (1 << np.arange(BLOCK_BITS))
+    return values + (np.arange(n) << BLOCK_BITS)
+
+
+def fingerprints(docs: DataFrame, width: int, key: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 1) -> DataFrame:
+    """Key columns and fp, the fingerprint as a signed 64-bit number; for more words fp is a hash of all, and bits holds them."""
 
     def make():
         def f(texts, _):
@@ -73,13 +95,16 @@ def fingerprints(docs: DataFrame, width: int, key: tuple[str, ...] = ("doc_id",)
             for at in range(0, len(texts), 256):
                 each = [shingle_hashes(x, width) for x in texts[at : at + 256]]
                 counts = np.array([len(x) for x in each], np.int64)
-                flat = np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum()))
-                out.append(fold_bits(flat, counts))
-            return {"fp": pa.array(np.concatenate(out).view(np.int64))}
+                out.append(wide_bits(np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum())), counts, words))
+            bits = np.concatenate(out)
+            if words == 1:
+                return {"fp": pa.array(bits[:, 0].view(np.int64))}
+            packed = [r.tobytes() for r in bits]
+            return {"fp": pa.array(np.array([xxhash.xxh64_intdigest(x, SEED) for x in packed], np.uint64).view(np.int64)), "bits": pa.array(packed, pa.binary())}
 
         return f
 
-    return map_text(pick(docs, *key, text), "fp bigint", make, text)
+    return map_text(pick(docs, *key, text), "fp bigint" + (", bits binary" if words > 1 else ""), make, text)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -96,82 +121,117 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; the last axis holds a fingerprint's words."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for w in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., w] ^ b[..., w])
+    return out
+
+
 def close_pairs(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one unit, a spanning set: side 2 compares with all of side 2, side 0 with side 1 only."""
-    order = np.argsort(np.bitwise_count(fp), kind="stable")
-    fp, side = fp[order], side[order]
-    weight = np.bitwise_count(fp).astype(np.int64)
+    """Row numbers of links within one unit, a spanning set: side 2 compares with all of side 2, side 0 with side 1 only."""
+    weight = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    order = np.argsort(weight, kind="stable")
+    fp, side, weight = fp[order], side[order], weight[order]
     label = np.arange(len(fp))
     for a in range(0, len(fp), CHUNK):
         for b in range(a, len(fp), CHUNK):
             if weight[b] - weight[min(a + CHUNK, len(fp)) - 1] > radius:
                 break
-            near = np.bitwise_count(fp[a : a + CHUNK, None] ^ fp[None, b : b + CHUNK]) <= radius
+            near = distance(fp[a : a + CHUNK, None], fp[None, b : b + CHUNK]) <= radius
             i, j = np.nonzero(near)
             i, j = i + a, j + b
             ok = (i < j) & ((side[i] == 2) | (side[i] != side[j])) & (label[i] != label[j])
             if ok.any():
                 label = forest(len(fp), np.concatenate((np.arange(len(fp)), i[ok])), np.concatenate((label, j[ok])))
     moved = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[moved], fp[label[moved]]
+    return order[moved], order[label[moved]]
 
 
 def small_pairs(unit: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within many small units at once (equal numbers in unit stand together): each row against the k-th next, for k = 1, 2, ..."""
+    """Row numbers of links within many small units at once (equal numbers in unit stand together): each row against the k-th next, for k = 1, 2, ..."""
     left, right = [], []
     at = np.arange(len(fp) - 1)
     k = 1
     while len(at):
         at = at[at + k < len(fp)]
         at = at[unit[at] == unit[at + k]]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= radius]
-        left.append(fp[near])
-        right.append(fp[near + k])
+        near = at[distance(fp[at], fp[at + k]) <= radius]
+        left.append(near)
+        right.append(near + k)
         k += 1
-    return np.concatenate(left or [fp[:0]]), np.concatenate(right or [fp[:0]])
+    return np.concatenate(left or [at]), np.concatenate(right or [at])
 
 
 SMALL = 128
 
 
-def _compare(radius: int):
+def _compare(radius: int, words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def links(rows: np.ndarray) -> pa.RecordBatch:
+        def links(rows: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
             cuts = np.concatenate(([0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1, [len(rows)]))
             sizes = np.diff(cuts)
             number = np.repeat(np.arange(len(sizes)), sizes)
-            fp = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
-            little = np.repeat((sizes <= SMALL) & (rows[cuts[:-1], 3] == 2), sizes)
-            found = [small_pairs(number[little], fp[little], radius)]
-            for k in np.flatnonzero((sizes > SMALL) | (rows[cuts[:-1], 3] != 2)):
-                found.append(close_pairs(fp[cuts[k] : cuts[k + 1]], rows[cuts[k] : cuts[k + 1], 3], radius))
-            u, v = (np.concatenate([x[s] for x in found]).view(np.int64) for s in (0, 1))
+            is_small = (sizes <= SMALL) & (rows[cuts[:-1], 3] == 2)
+            little = np.flatnonzero(np.repeat(is_small, sizes))
+            found = [tuple(little[x] for x in small_pairs(number[little], bits[little], radius))]
+            for k in np.flatnonzero(~is_small):
+                own = slice(cuts[k], cuts[k + 1])
+                found.append(tuple(x + cuts[k] for x in close_pairs(bits[own], rows[own, 3], radius)))
+            u, v = (rows[np.concatenate([x[s] for x in found]), 4] for s in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for b in batches:
             rows = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)])
-            rows = np.concatenate([*held, rows])
+            bits = np.ascontiguousarray(rows[:, 4:5]).view(np.uint64) if words == 1 else np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(-1, words)
+            if held:
+                rows, bits = np.concatenate([held[0], rows]), np.concatenate([held[1], bits])
             last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0
-            held = [rows[cut:]]
+            held = [rows[cut:], bits[cut:]]
             if cut:
-                yield links(rows[:cut])
+                yield links(rows[:cut], bits[:cut])
         if held and len(held[0]):
-            yield links(held[0])
+            yield links(*held)
 
     return run
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes: distinct fp -> links (u, v) that span all pairs within radius."""
+def _lossless_blocks(nodes: DataFrame, radius: int) -> DataFrame:
+    """A row for each of radius + 1 blocks of each fingerprint: g (block and its value), w (bits set), fp."""
     n = radius + 1
     edges = [64 * k // n for k in range(n + 1)]
     blocks = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("x") for a, b in zip(edges, edges[1:], strict=False)]
     wide = max(b - a for a, b in zip(edges, edges[1:], strict=False))
     rows = nodes.select("fp", F.bit_count("fp").alias("w"), F.posexplode(F.array(*blocks)).alias("k", "x"))
-    rows = rows.select((F.shiftleft("k", wide).cast("long") + F.col("x")).alias("g"), "w", "fp")
+    return rows.select((F.shiftleft("k", wide).cast("long") + F.col("x")).alias("g"), "w", "fp")
+
+
+def _wide_blocks(nodes: DataFrame) -> DataFrame:
+    """The same for wider fingerprints, with their bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = b.column(1).to_pylist()
+            bits = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
+            blocks = blocks_of(bits)
+            ends = pa.array(np.arange(len(raw) + 1) * blocks.shape[1], pa.int32())
+            weight = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weight.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(blocks.ravel()))], names=["fp", "bits", "w", "blocks"])
+
+    rows = nodes.select("fp", "bits").mapInArrow(run, "fp bigint, bits binary, w int, blocks array<bigint>")
+    return rows.select(F.explode("blocks").alias("g"), "w", "fp", "bits")
+
+
+def links(nodes: DataFrame, radius: int, words: int = 1) -> DataFrame:
+    """nodes: distinct fp (and bits, for more words than one) -> links (u, v) that span the pairs within radius."""
+    rows = _lossless_blocks(nodes, radius) if words == 1 else _wide_blocks(nodes)
+    more = [] if words == 1 else ["bits"]
     counts = rows.groupBy("g", "w").agg(F.count(F.lit(1)).alias("c"))
     hot = counts.groupBy("g").agg(F.sum("c").alias("n")).filter(F.col("n") > TILE)
     tiles = counts.join(hot.select("g"), "g").select("g", "w", F.ceil(F.col("c") / TILE).alias("subs"))
@@ -182,18 +242,19 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     hot_rows = rows.join(reach, ["g", "w"]).withColumn("own", F.col("w") * F.lit(1 << 32) + F.pmod(F.xxhash64("fp"), F.col("subs")))
     hot_rows = hot_rows.select(
         "g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "fp",
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "fp", *more,
     )
-    cool = rows.join(hot.select("g"), "g", "left_anti").select("g", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(2).alias("side"), "fp")
+    cool = rows.join(hot.select("g"), "g", "left_anti").select("g", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(2).alias("side"), "fp", *more)
     units = cool.unionByName(hot_rows).repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
-    return units.mapInArrow(_compare(radius), "u bigint, v bigint")
+    return units.mapInArrow(_compare(radius, words), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", words: int = 1) -> DataFrame:
     """Per row: key, fp, component (the smallest key reachable; null only if all keys there are null)."""
-    fps = written(fingerprints(docs, width, (key,), text), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
+    fps = written(fingerprints(docs, width, (key,), text, words), "fingerprints")
+    bits = [F.first("bits").alias("bits")] if words > 1 else []
+    nodes = written(fps.groupBy("fp").agg(F.min(key).alias("least"), *bits), "nodes")
+    roots = components(links(nodes.drop("least"), radius, words))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -233,3 +233,22 @@ def test_bounds_of_estimates():
     guess, error = ann.estimates(codes, corrections, unit @ ann.rotation(64).T)
     true = unit @ (v / np.linalg.norm(v, axis=1)[:, None]).T
     assert (np.abs(guess - true) <= error).mean() > 0.99
+
+
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_wide_simhash(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(12)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    base = [list(rng.choice(vocab, 150)) for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.01 else "new" for w in b) for b in base for _ in range(4)] + [None, "", "one two"]
+    hashes = [simhash.shingle_hashes(t and t.encode(), 5) for t in texts]
+    counts = np.array([len(h) for h in hashes])
+    bits = simhash.wide_bits(np.array([x for h in hashes for x in h], np.uint64), counts, 4)
+    assert (bits[:, 0] == simhash.fold_bits(np.array([x for h in hashes for x in h], np.uint64), counts)).all()
+    near = simhash.distance(bits[:, None], bits[None, :]) <= 46
+    label = simhash.forest(len(texts), *np.nonzero(near))
+    out = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs_of(spark, texts), 5, 46, words=4).collect()}
+    assert out == dict(enumerate(label.tolist()))
+    alike = [(i, j) for i in range(48) for j in range(i) if len(set(hashes[i]) & set(hashes[j])) >= 0.85 * len(set(hashes[i]) | set(hashes[j]))]
+    assert len(alike) > 20 and np.mean([out[i] == out[j] for i, j in alike]) > 0.95 and all(out[i] // 4 == i // 4 for i in range(48))
