@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import map_text, pick, written
 from .wordhash import LOWERED, WORDS, hash_texts
 
-SYMBOLS = 2032
+SYMBOLS = 1008
 CLASSES = 16
 NEAR = 1 << 17
 DIM = 48
@@ -149,7 +149,7 @@ def train(pair: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS, rate:
     """Noise-contrastive estimation with Adagrad; noise is drawn from the smoothed unigram and shared by a batch."""
     rng = np.random.default_rng(SEED)
     order = np.argsort(pair)
-    u, v, n = pair[order] // size, pair[order] % size, n[order].astype(np.float64)
+    u, v, n = (pair[order] // size).astype(np.int32), (pair[order] % size).astype(np.int32), n[order].astype(np.float64)
     unigram = np.bincount(v, n, minlength=size) + 0.5
     unigram /= unigram.sum()
     model = Model(rng.standard_normal((size, DIM)) * 0.1, np.eye(DIM), np.zeros((size, DIM)), np.log(unigram))
@@ -230,8 +230,9 @@ def score_texts(docs: DataFrame, learn: DataFrame, key: tuple[str, ...] = ("doc_
     """Per row of docs: key columns, n_tokens, n_known (seen in learn), train_tokens, base_score, score (both log10). learn: the rows to learn from."""
     table = written(count_tokens(learn, text), "counts")
     counts = bounded_counts(table, symbols, near)
-    pairs = count_pairs(learn, counts, text).toPandas()
-    model = train(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), len(counts.symbols) + CLASSES, steps)
+    pairs = count_pairs(learn, counts, text).toArrow()  # at most the square of the number of symbols
+    model = train(pairs["pair"].to_numpy(), pairs["n"].to_numpy(), len(counts.symbols) + CLASSES, steps)
+    del pairs
     rows = written(_known_part(docs, counts, model, key, text), "scored")
     far = rows.select("row", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", F.col("x.far").alias("h"), F.col("x.times").alias("n"))
     found = far.join(table, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -4,7 +4,7 @@ Tokens are runs of letters, of digits or of other marks, hashed to BUCKETS; each
 word vector is the sum of the index vectors that stand within WINDOW tokens of it anywhere in the corpus. Partial sums are
 packed by task and added up in blocks, so what moves and what the driver gets is BUCKETS * DIM numbers, whatever the corpus. A
 document's features are the mean of its tokens' unit vectors, their spread, and the mean product of neighbours. The network is
-trained on the driver from at most MAX_LABELLED labelled rows (taken in hash order, a parameter);
+trained on the driver from at most MAX_LABELLED labelled rows (chosen by hash, a parameter);
 a temperature fitted on rows held back from training calibrates its probabilities.
 
 Null and empty texts have the zero features of no token and get the network's answer for them. Rows without a label,
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, pick, written
+from .common import map_text, pick
 from .wordhash import TOKENS, hash_texts
 
 BUCKETS = 1 << 13
@@ -62,6 +62,17 @@ def add_contexts(bucket: np.ndarray, starts: np.ndarray, sums: np.ndarray) -> No
         sums += np.bincount(word * DIM + place[other, k], n * sign[other, k], minlength=len(sums)).astype(np.int64)
 
 
+def pack(sums: np.ndarray) -> bytes:
+    """A width byte, then numbers of the narrowest type that holds all."""
+    top = int(np.abs(sums).max(initial=0))
+    width = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+    return bytes([width]) + sums.astype(f"<i{width}").tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
+
+
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Unit word vectors of all buckets, over every row of docs; rows of buckets never seen are zero."""
 
@@ -73,13 +84,13 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
                 add_contexts(*buckets_of(texts[at : at + 512]), sums)
         for k in range(BUCKETS // BLOCK_ROWS):
             own = sums[k * BLOCK_ROWS * DIM : (k + 1) * BLOCK_ROWS * DIM]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()])], names=["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(own)])], names=["block", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK_ROWS * DIM, np.int64)
         for x in table.column("sums").to_pylist():
-            total += np.frombuffer(x, np.int64)
-        return pa.table({"block": table.column("block")[:1], "sums": pa.array([total.tobytes()])})
+            total += unpack(x)
+        return pa.table({"block": table.column("block")[:1], "sums": pa.array([pack(total)])})
 
     schema = "block int, sums binary"
     parts = pick(docs, text).filter(F.col(text).isNotNull()).mapInArrow(partial, schema)
@@ -87,7 +98,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     some = parts.withColumn("part", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(64))).groupBy("block", "part").applyInArrow(add, schema)
     out = np.zeros((BUCKETS, DIM))
     for r in some.groupBy("block").applyInArrow(add, schema).collect():
-        out[r["block"] * BLOCK_ROWS : (r["block"] + 1) * BLOCK_ROWS] = np.frombuffer(r["sums"], np.int64).reshape(-1, DIM)
+        out[r["block"] * BLOCK_ROWS : (r["block"] + 1) * BLOCK_ROWS] = unpack(r["sums"]).reshape(-1, DIM)
     return out / np.maximum(np.linalg.norm(out, axis=1), 1e-12)[:, None]
 
 
@@ -178,31 +189,42 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 3e-3, de
     return net
 
 
-def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Network:
-    """rows: key and f, the rows that may be learned from."""
-    marks = pick(labels, key, label).filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("y"))
-    sample = rows.join(marks, key).select("f", "y", F.xxhash64(F.col(key), F.lit(SEED)).alias("o")).orderBy("o", "f").limit(max_labelled).collect()
+def sample_labels(labels: DataFrame, key: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """key and y of at most max_labelled rows, chosen by hash; repeats of a key count once, the larger label holds."""
+    marks = pick(labels, key, label).filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
+    share = min(1.0, 0.9 * max_labelled / max(1, marks.count()))
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    return marks.filter(place < share).limit(max_labelled)
+
+
+def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Network:
+    """Features leave the tasks for the sampled rows alone: their ids, at most max_labelled, are broadcast."""
+    marks = sample_labels(labels, key, label, max_labelled)
+    rows = pick(docs, key, text).join(F.broadcast(marks), key)
+    sample = features(rows, vectors, ("y",), text).collect()
+    sample.sort(key=lambda r: (bytes(r["f"]), r["y"]))
     x = np.array([np.frombuffer(r["f"], np.float32) for r in sample], np.float64).reshape(len(sample), POOLED)
     return train(x, np.array([r["y"] for r in sample], np.float64))
 
 
-def score(rows: DataFrame, net: Network, key: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, vectors: np.ndarray, net: Network, key: tuple[str, ...], text: str = "text") -> DataFrame:
     """Key columns and score."""
-    shared = rows.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors.astype(np.float32), net))
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x = np.frombuffer(b"".join(b.column(len(key)).to_pylist()), np.float32).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], pa.array(shared.value.probabilities(x.astype(np.float64)))], names=[*key, "score"])
+    def make():
+        vectors, net = shared.value
+
+        def f(texts, _):
+            parts = [net.probabilities(pool(*buckets_of(texts[at : at + 256]), vectors).astype(np.float64)) for at in range(0, len(texts), 256)]
+            return {"score": pa.array(np.concatenate(parts))}
+
+        return f
 
-    head = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
-    return rows.select(*key, "f").mapInArrow(run, f"{head}, score double")
+    return map_text(pick(docs, *key, text), "score double", make, text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, learnable: str, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Per row: key, the boolean column learnable, score. Only labels of learnable rows are used."""
+def classify(docs: DataFrame, labels: DataFrame, key: tuple[str, ...] = ("doc_id",), text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Per row of docs: key columns and score. labels: the rows that may be learned from, by the first key column."""
     vectors = word_vectors(docs, text)
-    rows = written(features(docs, vectors, (key, learnable), text), "features")
-    net = fit(rows.filter(F.col(learnable)).select(key, "f"), labels, key, label, max_labelled)
-    return score(rows, net, (key, learnable))
+    net = fit(docs, labels, vectors, key[0], text, label, max_labelled)
+    return score(docs, vectors, net, key, text)

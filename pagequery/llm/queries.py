@@ -12,9 +12,10 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("learnable", fold() != 0)
-    out = quality.classify(docs, table(spark, sf_dir, "labels"), "learnable")
-    return out.select("doc_id", (~F.col("learnable")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    labels = pick(table(spark, sf_dir, "labels"), "doc_id", "quality").filter(fold() != 0)
+    out = quality.classify(docs, labels)
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
