@@ -65,7 +65,7 @@ def shared_dir(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -78,7 +78,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

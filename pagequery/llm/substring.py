@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, pick, shared_dir, text_bytes, written
+from .common import delete, parts_for, pick, shared_dir, text_bytes, written
 from .wordhash import WINDOW_BASE, hash_texts, window_hashes
 
 BATCH_BYTES = 4 << 20
@@ -216,9 +216,12 @@ def _dealt(docs: DataFrame, key: str, text: str, batches: int) -> DataFrame:
 
 
 def _drop(spark, name: str) -> None:
-    from .common import _delete
-
-    _delete(spark, f"{shared_dir(spark)}/{name}")
+    """At the driver's end: the table's entry and files."""
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, f"{shared_dir(spark)}/{name}")
+    except Exception:  # the session has already ended
+        return
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
