@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+# one thread a process: Spark's workers share the cores already
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
