@@ -16,8 +16,8 @@ from pagequery.llm.common import numbered, table, written
 #: Documents whose best cosine with a language is not above this are rejected, as are those without a letter.
 MIN_LANGUAGE_SCORE = 0.0
 MIN_LINE_DOCS = 10
-#: Near-duplicates share about 0.8 of their five-word shingles: 46 of 256 bits may differ (39 on average at 0.8, and the spread).
-SHINGLE, WORDS, RADIUS = 5, 4, 46
+#: Near-duplicates share at least 0.8 of their five-word shingles. Candidates are those whose fingerprints differ in at most 60 of 256 bits (39 on average at 0.8).
+SHINGLE, WORDS, RADIUS, ALIKE = 5, 4, 60, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     key, text = (rows.columns[names.index(c)] for c in ("doc_id", "text"))
     own = F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key), F.lit(0)).alias("id"), F.xxhash64(key, text).alias("hash"))
     rows = rows.withColumn("_row", own)
-    groups = simhash.near_duplicates(rows, SHINGLE, RADIUS, "_row", text, WORDS)
+    groups = simhash.near_duplicates(rows, SHINGLE, RADIUS, "_row", text, WORDS, ALIKE)
     chosen = written(groups.filter(F.col("_row") == F.col("component")).groupBy("_row").agg(F.count(F.lit(1)).alias("n")), "chosen")
     once = rows.join(chosen.filter("n = 1"), "_row", "left_semi")
     repeated = rows.join(chosen.filter("n > 1"), "_row", "left_semi").dropDuplicates(["_row"])

@@ -9,9 +9,14 @@ different tasks, each pair of tiles once. A tile pair returns a spanning forest
 all of them; components are then joined up by components().
 
 Wider fingerprints (``words`` > 1) serve lower similarities: further words come from the same shingle hashes, mixed with other
-constants. At a radius of a sixth of all bits no cut into blocks is lossless, so blocks of BLOCK_BITS bits are used: two
-texts whose bits differ with probability p share one of 64 * words / BLOCK_BITS blocks with probability
-1 - (1 - (1 - p) ** BLOCK_BITS) ** blocks, 0.996 at 256 bits and a shingle similarity of 0.8, and more above.
+constants. At a radius of a sixth of all bits no cut into blocks is lossless, so BLOCKS * words blocks of BLOCK_BITS bits are
+used: two texts whose bits differ with probability p share a block with probability about
+1 - (1 - (1 - p) ** BLOCK_BITS) ** blocks, 0.998 at 256 bits and a shingle similarity of 0.8, and more above.
+
+With ``alike`` links are candidates only. Nodes are then distinct shingle sets, and the sets of each candidate component are
+compared exactly; only pairs whose similarity (common shingles by all shingles) is at least alike link. A component of
+more than UNIT sets is dealt out: first each part is compared with itself and a few pivots, which joins up most of a
+group of copies; then tiles of what the largest joined group lacks meet all tiles.
 
 Null and blank texts have fingerprint zero and link like any other. Rows repeated whole stay as rows.
 """
@@ -35,6 +40,11 @@ TILE = 4096
 #: Rows of one numpy comparison.
 CHUNK = 512
 BLOCK_BITS = 10
+#: Blocks of each word of a wider fingerprint.
+BLOCKS = 8
+#: Shingle sets of one exact comparison, and those of a larger component that all its parts meet.
+UNIT = 512
+PIVOTS = 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -81,26 +91,43 @@ def wide_bits(hashes: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
 def blocks_of(bits: np.ndarray) -> np.ndarray:
     """Numbers of the blocks of each row: place and value in one."""
     flat = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little")
-    n = flat.shape[1] // BLOCK_BITS
-    values = flat[:, : n * BLOCK_BITS].reshape(len(bits), n, BLOCK_BITS) @ (1 << np.arange(BLOCK_BITS))
+    n, each = bits.shape[1] * BLOCKS, flat.shape[1] // BLOCK_BITS
+    rng = np.random.default_rng(SEED)
+    deals = [np.arange(flat.shape[1])] + [rng.permutation(flat.shape[1]) for _ in range((n - 1) // each)]
+    order = np.concatenate([d[: each * BLOCK_BITS] for d in deals])[: n * BLOCK_BITS]
+    values = flat[:, order].reshape(len(bits), n, BLOCK_BITS) @ (1 << np.arange(BLOCK_BITS))
     return values + (np.arange(n) << BLOCK_BITS)
 
 
-def fingerprints(docs: DataFrame, width: int, key: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 1) -> DataFrame:
-    """Key columns and fp, the fingerprint as a signed 64-bit number; for more words fp is a hash of all, and bits holds them."""
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def set_hash(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def fingerprints(docs: DataFrame, width: int, key: tuple[str, ...] = ("doc_id",), text: str = "text", words: int = 1, sets: bool = False) -> DataFrame:
+    """Key columns and fp, the fingerprint as a signed 64-bit number; for more words fp is a hash of all, and bits holds them.
+
+    With sets a repeated shingle counts once, and fp is a hash of the shingle set.
+    """
 
     def make():
         def f(texts, _):
-            out = []
+            out, names = [], []
             for at in range(0, len(texts), 256):
-                each = [shingle_hashes(x, width) for x in texts[at : at + 256]]
+                each = [shingle_set(x, width) if sets else shingle_hashes(x, width) for x in texts[at : at + 256]]
+                names += [set_hash(x) for x in each] if sets else []
                 counts = np.array([len(x) for x in each], np.int64)
                 out.append(wide_bits(np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum())), counts, words))
             bits = np.concatenate(out)
-            if words == 1:
+            if words == 1 and not sets:
                 return {"fp": pa.array(bits[:, 0].view(np.int64))}
             packed = [r.tobytes() for r in bits]
-            return {"fp": pa.array(np.array([xxhash.xxh64_intdigest(x, SEED) for x in packed], np.uint64).view(np.int64)), "bits": pa.array(packed, pa.binary())}
+            names = names or [xxhash.xxh64_intdigest(x, SEED) for x in packed]
+            return {"fp": pa.array(np.array(names, np.uint64).view(np.int64)), "bits": pa.array(packed, pa.binary())}
 
         return f
 
@@ -249,12 +276,106 @@ def links(nodes: DataFrame, radius: int, words: int = 1) -> DataFrame:
     return units.mapInArrow(_compare(radius, words), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", words: int = 1) -> DataFrame:
-    """Per row: key, fp, component (the smallest key reachable; null only if all keys there are null)."""
-    fps = written(fingerprints(docs, width, (key,), text, words), "fingerprints")
-    bits = [F.first("bits").alias("bits")] if words > 1 else []
+def alike_pairs(sets: list[np.ndarray], label: np.ndarray, alike: float) -> tuple[list[int], list[int]]:
+    """Places of pairs with a similarity of at least alike that, with equal labels, span all such pairs."""
+    label = label.copy()
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(len(distinct), bool)
+    left, right = [], []
+    for i in range(len(sets) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        rest = rest[np.minimum(sizes[rest], sizes[i]) >= alike * np.maximum(sizes[rest], sizes[i]) - 1e-6]
+        if not len(rest):
+            continue
+        mine = number[ends[i] - sizes[i] : ends[i]]
+        own[mine] = True
+        first, last = ends[rest[0]] - sizes[rest[0]], ends[rest[-1]]
+        sums = np.concatenate(([0], np.cumsum(own[number[first:last]])))
+        own[mine] = False
+        common = sums[ends[rest] - first] - sums[ends[rest] - sizes[rest] - first]
+        for j in rest[common / np.maximum(sizes[rest] + sizes[i] - common, 1) >= alike].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                left.append(i)
+                right.append(j)
+    return left, right
+
+
+def _exact(units: DataFrame, alike: float) -> DataFrame:
+    """units: root, a, b (together a unit), fp, label and set -> links (u, v)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+
+        def links() -> pa.RecordBatch:
+            fp, label = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
+            u, v = alike_pairs([np.frombuffer(x[2], np.uint64) for x in held], label, alike)
+            return pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], names=["u", "v"])
+
+        for b in batches:
+            for *own, fp, label, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != unit:
+                    if len(held) > 1:
+                        yield links()
+                    unit, held = own, []
+                held.append((fp, label, shingles))
+        if len(held) > 1:
+            yield links()
+
+    dealt = units.select("root", "a", "b", "fp", "label", "set").repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def _member_sets(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """fp, root and set (packed) of the nodes in components of two and more."""
+    groups = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = written(nodes.join(groups, nodes["fp"] == groups["node"]).select(F.col("least").alias("_least"), "fp", "root", "n"), "members")
+    same = F.col(key).eqNullSafe(F.col("_least"))
+    once = docs.select(key, text).join(members.filter("n = 1"), same).select("fp", "root", text)
+    repeated = docs.select(key, text).join(members.filter("n > 1"), same).dropDuplicates(["fp"]).select("fp", "root", text)
+
+    def make():
+        return lambda texts, _: {"set": pa.array([shingle_set(x, width).tobytes() for x in texts], pa.binary())}
+
+    return map_text(once.unionByName(repeated), "set binary", make, text)
+
+
+def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, alike: float, key: str, text: str) -> DataFrame:
+    """Links (u, v) that span the pairs of similar shingle sets within the candidate components; a node's least key must belong to one text."""
+    sets = written(_member_sets(docs, nodes, roots, width, key, text), "sets")
+    sizes = written(sets.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    dealt = F.xxhash64("fp")
+    zero = F.lit(0).cast("long")
+    rows = sets.join(sizes, "root").withColumn("parts", F.ceil(F.col("m") / UNIT))
+    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("fp", F.lit(1)), F.col("m")) < PIVOTS)
+    part = F.explode(F.when(pivot, F.sequence(zero, F.col("parts") - 1)).otherwise(F.array(F.pmod(dealt, F.col("parts")))))
+    found = written(_exact(rows.select("root", part.alias("a"), zero.alias("b"), "fp", F.col("fp").alias("label"), "set"), alike), "found")
+    large = sizes.filter(F.col("m") > UNIT)
+    if large.isEmpty():
+        return found
+    joined = components(found).select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    marked = sets.select("root", "fp").join(large, "root").join(joined, "fp", "left").select("root", "fp", "m", F.coalesce("label", "fp").alias("label"))
+    marked = written(marked, "marked")
+    counts = marked.groupBy("root", "m", "label").agg(F.count(F.lit(1)).alias("n"))
+    core = counts.groupBy("root", "m").agg(F.max(F.struct("n", "label")).alias("x")).select("root", F.col("x.label").alias("core"), F.col("x.n").alias("n"), "m")
+    core = core.filter(F.col("n") < F.col("m")).select("root", "core", F.ceil((F.col("m") - F.col("n")) / UNIT).alias("others"), F.ceil(F.col("n") / UNIT).alias("cores"))
+    inside = F.col("label") == F.col("core")
+    tiled = marked.join(core, "root").withColumn("t", F.when(inside, F.col("others") + F.pmod(dealt, F.col("cores"))).otherwise(F.pmod(dealt, F.col("others"))))
+    reach = F.explode(F.sequence(zero, F.col("others") - 1 + F.when(inside, 0).otherwise(F.col("cores"))))
+    tiled = tiled.select("root", "fp", "label", "t", reach.alias("x")).select("root", F.least("t", "x").alias("a"), F.greatest("t", "x").alias("b"), "fp", "label")
+    return found.unionByName(_exact(tiled.join(sets.select("fp", "set"), "fp"), alike))
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", words: int = 1, alike: float | None = None) -> DataFrame:
+    """Per row: key, fp, component (the smallest key reachable; null only if all keys there are null). With alike (for more words than one) links within the radius are verified on the shingle sets."""
+    fps = written(fingerprints(docs, width, (key,), text, words, alike is not None), "fingerprints")
+    bits = [F.first("bits").alias("bits"), F.count(F.lit(1)).alias("n")] if words > 1 else []
     nodes = written(fps.groupBy("fp").agg(F.min(key).alias("least"), *bits), "nodes")
-    roots = components(links(nodes.drop("least"), radius, words))
+    roots = components(links(nodes.drop("least", "n"), radius, words))
+    if alike is not None:
+        roots = components(verified(docs, nodes, roots, width, alike, key, text))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component"))

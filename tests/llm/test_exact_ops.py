@@ -252,3 +252,23 @@ def test_wide_simhash(spark, monkeypatch, tile):
     assert out == dict(enumerate(label.tolist()))
     alike = [(i, j) for i in range(48) for j in range(i) if len(set(hashes[i]) & set(hashes[j])) >= 0.85 * len(set(hashes[i]) | set(hashes[j]))]
     assert len(alike) > 20 and np.mean([out[i] == out[j] for i, j in alike]) > 0.95 and all(out[i] // 4 == i // 4 for i in range(48))
+
+
+@pytest.mark.parametrize("unit", [512, 6])
+def test_verified_near_duplicates(spark, monkeypatch, unit):
+    monkeypatch.setattr(simhash, "UNIT", unit)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    rng = np.random.default_rng(21)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    texts = []
+    for share in (0.005, 0.02, 0.03, 0.045, 0.06):  # from close copies to texts that the radius alone takes for copies
+        base = list(rng.choice(vocab, 200))
+        texts += [" ".join(w if rng.random() > share else str(rng.choice(vocab)) for w in base) for _ in range(12)]
+    texts += [None, "", "one two", " ".join(["again and again we say"] * 80), " ".join(["again and again we say"] * 80 + ["but not this"])]
+    sets = [set(simhash.shingle_hashes(t and t.encode(), 5)) for t in texts]
+    same = np.array([[a == b or len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = simhash.forest(len(texts), *np.nonzero(same))
+    out = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs_of(spark, texts), 5, 60, words=4, alike=0.8).collect()}
+    assert out == dict(enumerate(label.tolist()))
+    fps = np.array([simhash.wide_bits(np.array(sorted(s), np.uint64), np.array([len(s)]), 4)[0] for s in sets])
+    assert (simhash.forest(len(texts), *np.nonzero(simhash.distance(fps[:, None], fps[None, :]) <= 46)) != label).any()
