@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import map_text, pick, written
 from .wordhash import LOWERED, WORDS, hash_texts
 
-SYMBOLS = 1008
+SYMBOLS = 2032
 CLASSES = 16
 NEAR = 1 << 17
 DIM = 48

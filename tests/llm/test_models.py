@@ -214,3 +214,10 @@ def test_pipeline_runs(spark):
 def test_folds(spark):
     out = queries.op3_language_id(spark, SF).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+
+
+def test_lm_symbols(spark):
+    words = [f"w{i}" for i in range(3000)]
+    df = docs_of(spark, [" ".join(words[:2031])] * 2 + [" ".join(words)])
+    counts = lmscore.bounded_counts(lmscore.count_tokens(df))
+    assert len(counts.symbols) == 2032 and (counts.look_up(lmscore.tokens([" ".join(words[:2031]).encode()])[0])[0] < 2032).all()
