@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pagequery.llm import bpe, decontaminate, langid, linededup, simhash
 from pagequery.llm.common import numbered, table, written
 
-#: Documents whose best cosine with a language is not above this are rejected, as are those without a letter.
-MIN_LANGUAGE_SCORE = 0.0
+#: Documents are rejected whose best cosine with a language is not above LANGUAGE_PART of the LANGUAGE_SHARE quantile of that language's own texts of like length, as are those without a letter.
+LANGUAGE_SHARE, LANGUAGE_PART = 0.05, 1 / 3
 MIN_LINE_DOCS = 10
 #: Near-duplicates share at least 0.8 of their five-word shingles. Candidates are those whose fingerprints differ in at most 60 of 256 bits (39 on average at 0.8).
 SHINGLE, WORDS, RADIUS, ALIKE = 5, 4, 60, 0.8
@@ -23,10 +23,14 @@ SHINGLE, WORDS, RADIUS, ALIKE = 5, 4, 60, 0.8
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus names; the others go."""
     rows, names = numbered(docs)
-    text = rows.columns[names.index("text")]
+    text, lang = (rows.columns[names.index(c)] for c in ("text", "lang"))
     prototypes = langid.learn(docs)
-    marked = langid.identify(rows, prototypes, tuple(c for c in rows.columns if c != text), text, keep_text=True)
-    return marked.filter((F.col("lang_pred") != "und") & (F.col("score") > MIN_LANGUAGE_SCORE)).select(*rows.columns).toDF(*names)
+    marked = written(langid.identify(rows, prototypes, tuple(c for c in rows.columns if c != text), text, keep_text=True, length=True), "marked")
+    least = langid.least_scores(marked, lang, LANGUAGE_SHARE, LANGUAGE_PART)
+    floor = F.lit(0.0)
+    for name, row in least.items():
+        floor = F.when(F.col("lang_pred") == name, F.get(F.array(*map(F.lit, row)), langid.length_class(F.col("grams")))).otherwise(floor)
+    return marked.filter((F.col("lang_pred") != "und") & (F.col("score") > floor)).select(*rows.columns).toDF(*names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

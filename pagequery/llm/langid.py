@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, pick
@@ -29,6 +29,8 @@ SEED = 20240229
 #: Characters, and texts, that are handled at once; a longer text is cut into pieces (an n-gram across a cut becomes two at a boundary).
 BLOCK = 1 << 20
 GROUP = 256
+#: Length classes of texts.
+CLASSES = 40
 
 
 @lru_cache(maxsize=1)
@@ -134,8 +136,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return dict(sorted(out.items()))
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: tuple[str, ...] = ("doc_id",), text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Per row: the key columns (with keep_text the text too), lang_pred and score (the cosine with that language's prototype, cut to 0..1)."""
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: tuple[str, ...] = ("doc_id",), text: str = "text", keep_text: bool = False, length: bool = False) -> DataFrame:
+    """Per row: the key columns (with keep_text the text too), lang_pred and score (the cosine with that language's prototype, cut to 0..1); with length also grams, the number of n-grams."""
     names = list(prototypes)
     unit = np.array([v / max(np.linalg.norm(v), 1e-300) for v in prototypes.values()]).reshape(len(names), DIM)
     shared = docs.sparkSession.sparkContext.broadcast((names, unit))
@@ -145,13 +147,32 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: tuple[str,
 
         def f(texts, _):
             v, grams = text_vectors([(x or b"").decode("utf-8", "replace") for x in texts])
+            more = {"grams": pa.array(grams)} if length else {}
             if not names:
-                return {"lang_pred": pa.array(["und"] * len(texts)), "score": pa.array(np.zeros(len(texts)))}
+                return {"lang_pred": pa.array(["und"] * len(texts)), "score": pa.array(np.zeros(len(texts)))} | more
             cos = v @ unit.T / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
             best, known = np.argmax(cos, axis=1), grams > 0
             score = np.where(known, np.clip(cos[np.arange(len(texts)), best], 0, 1), 0.0)
-            return {"lang_pred": pa.array([names[k] if ok else "und" for k, ok in zip(best, known, strict=True)], pa.string()), "score": pa.array(score)}
+            return {"lang_pred": pa.array([names[k] if ok else "und" for k, ok in zip(best, known, strict=True)], pa.string()), "score": pa.array(score)} | more
 
         return f
 
-    return map_text(pick(docs, *key, text), "lang_pred string, score double", make, text, keep_text)
+    return map_text(pick(docs, *key, text), "lang_pred string, score double" + (", grams bigint" if length else ""), make, text, keep_text)
+
+
+def length_class(grams: Column) -> Column:
+    return F.floor(F.log2(F.greatest(grams, F.lit(1)))).cast("int")
+
+
+def least_scores(marked: DataFrame, lang: str, share: float, part: float) -> dict[str, list[float]]:
+    """Language -> the least score of a text of each length class (doublings of n-grams): part of the share quantile of the scores of that language's own texts.
+
+    marked: identify's columns with grams, and the declared language. A length without such texts has the next shorter one's.
+    """
+    own = marked.filter((F.col("grams") > 0) & (F.col(lang) == F.col("lang_pred")))
+    found = own.groupBy("lang_pred", length_class(F.col("grams")).alias("k")).agg(F.percentile_approx("score", share).alias("q")).collect()
+    out: dict[str, list[float]] = {}
+    for r in sorted(found, key=lambda r: (r["lang_pred"], r["k"])):
+        row = out.setdefault(r["lang_pred"], [0.0] * CLASSES)
+        row[r["k"] :] = [part * r["q"]] * (CLASSES - r["k"])
+    return out

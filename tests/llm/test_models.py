@@ -221,3 +221,18 @@ def test_lm_symbols(spark):
     df = docs_of(spark, [" ".join(words[:2031])] * 2 + [" ".join(words)])
     counts = lmscore.bounded_counts(lmscore.count_tokens(df))
     assert len(counts.symbols) == 2032 and (counts.look_up(lmscore.tokens([" ".join(words[:2031]).encode()])[0])[0] < 2032).all()
+
+
+def test_pipeline_rejects_no_language(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+
+    def junk(first, n):
+        return " ".join("".join(chr(first + x) for x in rng.integers(0, n, rng.integers(3, 9))) for _ in range(200))
+
+    planted = [(-1 - 4 * i - k, junk(*alphabet), "en") for i in range(5) for k, alphabet in enumerate([(97, 26), (0x430, 32), (0x3B1, 25), (0xAC00, 11172)])]
+    both = docs.union(spark.createDataFrame(planted, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both, SF).select("doc_id").collect()}
+    clean = [(r["doc_id"], len(r["text"] or "")) for r in docs.collect()]
+    assert not any(p[0] in kept for p in planted)
+    assert np.mean([i in kept for i, _ in clean]) > 0.99 and all(i in kept for i, n in clean if 0 < n < 200)
