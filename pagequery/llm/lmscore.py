@@ -1,7 +1,7 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
 Tokens are words, A-Z lower-cased, and one end a text. Symbols of the model are the SYMBOLS most frequent tokens and CLASSES
-classes of all others by their form; a token outside the symbols has its class's probability times its own
+classes of all others by the top bits of their hash, which say nothing of their form; a token outside the symbols has its class's probability times its own
 smoothed share of the class, so a text's probability is over all tokens and sums to one. The model predicts a
 symbol from the one before: exp(R[u] C . Q[v] + b[v]), normalised over all symbols by one
 matrix product for all contexts.
