@@ -1,13 +1,15 @@
 """Language identification with hyperdimensional profiles.
 
-A letter is a random +-1 vector. An n-gram binds (multiplies) its letters' vectors, each permuted
-(rotated) by its place. A text bundles (adds) the vectors of all its n-grams, a language those of
+A letter is a random +-1 vector, seeded by its code point, so every letter of every script has its own. An n-gram binds (multiplies)
+its letters' vectors, each permuted (rotated) by its place. A text bundles (adds) the vectors of all its n-grams, a language those of
 all its training texts; a text gets the language whose prototype has the largest cosine. Sums are whole
 numbers, so prototypes don't depend on the order or number of tasks.
 
-Letters are lower-cased code points; a-z have vectors of their own, other letters share OTHER by code
-point, and any run of other characters is one boundary. ``und``: the text is null or has no letter, or no
-language was learned. Null languages are not learned. Ties go to the first language in order of names.
+Letters are lower-cased code points; any run of other characters is one boundary. Vectors are made on demand for the letters and n-grams
+of the texts at hand. A text longer than BLOCK characters goes through in pieces that carry its last letters on, which
+changes no n-gram. ``und``: the text is null or has no letter, or no
+language was learned. Null languages are not learned. Ties go to the first language in order of names. Rows repeated whole give
+equal rows, an empty table an empty result; other columns of docs, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -20,73 +22,134 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, pick
+from .wordhash import mix
 
 DIM = 512
 ORDER = 3
-OTHER = 21
-LETTERS = 27 + OTHER
 SEED = 20240229
-#: Characters, and texts, that are handled at once; a longer text is cut into pieces (an n-gram across a cut becomes two at a boundary).
+#: Characters, and texts, that are handled at once.
 BLOCK = 1 << 20
 GROUP = 256
+#: Cells of a table of counts, and n-grams whose vectors are made at once where such a table would be larger.
+CELLS = 1 << 22
+PAIRS = 1 << 11
 #: Length classes of texts.
 CLASSES = 40
 
 
 @lru_cache(maxsize=1)
-def _codes() -> np.ndarray:
-    """Code of each code point: 0 for what is no letter."""
-    out = np.zeros(0x110000, np.uint8)
+def _letters() -> np.ndarray:
+    """The lower-case letter of each code point, 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % OTHER
+            out[cp] = ord(c.lower()[0])
     return out
 
 
-@lru_cache(maxsize=1)
-def gram_vectors() -> np.ndarray:
-    """The bound vector of every n-gram, LETTERS**ORDER rows of int8."""
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, DIM))
-    out = base
-    for _ in range(ORDER - 1):
-        out = (np.roll(out, 1, axis=1)[:, None, :] * base[None, :, :]).reshape(-1, DIM)
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """A row of DIM times +-1 for each code point (0: the boundary)."""
+    words = np.arange(DIM // 64, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        raw = mix(mix(letters.astype(np.uint64) + np.uint64(SEED))[:, None] + words * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(raw.view(np.uint8), axis=1, bitorder="little").view(np.int8) * np.int8(2) - np.int8(1)
+
+
+def turned_vectors(letters: np.ndarray) -> list[np.ndarray]:
+    """The vectors of letters, permuted for each place of an n-gram."""
+    base = letter_vectors(letters)
+    return [np.roll(base, ORDER - 1 - k, axis=1) for k in range(ORDER)]
+
+
+def gram_vectors(places: np.ndarray, turned: list[np.ndarray]) -> np.ndarray:
+    """The bound vector of each n-gram; places: a row of ORDER places in letters each."""
+    out = turned[0][places[:, 0]]
+    for k in range(1, ORDER):
+        out *= turned[k][places[:, k]]
     return out
 
 
-def _vectors(texts: list[str], rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bundled vectors of rows of texts (rows: each text's row) and their numbers of n-grams; one matrix product for all of them."""
-    raw = np.frombuffer("".join(f"\0{x}\0" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _codes()[raw]
+def _bundle(codes: np.ndarray, ends: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bundled vectors of rows, and their numbers of n-grams, of texts as letters with single boundaries; ends and rows: each text's end and row."""
+    vectors, grams = np.zeros((n_rows, DIM)), np.zeros(n_rows, np.int64)
+    n = len(codes) - ORDER + 1
+    if n <= 0:
+        return vectors, grams
+    seen = np.zeros(int(codes.max()) + 1, bool)
+    seen[codes] = True
+    letters = np.flatnonzero(seen)
+    size = len(letters)
+    code = (np.cumsum(seen) - 1)[codes]
+    turned = turned_vectors(letters)
+    gram = np.zeros(n, np.int64)
+    for k in range(ORDER):
+        gram = gram * size + code[k : n + k]
+    own = np.ones(n, bool)
+    for k in range(1, ORDER):
+        at = ends[:-1] - k
+        own[at[(at >= 0) & (at < n)]] = False
+    gram, row = gram[own], np.repeat(rows, np.diff(ends, prepend=0))[:n][own]
+    if size**ORDER <= CELLS:
+        found = np.flatnonzero(np.bincount(gram, minlength=size**ORDER))
+        place = np.zeros(size**ORDER, np.int64)
+        place[found] = np.arange(len(found))
+        place = place[gram]
+    else:
+        found, place = np.unique(gram, return_inverse=True)
+    places = np.column_stack([found // size ** (ORDER - 1 - k) % size for k in range(ORDER)])
+    if n_rows * len(found) <= CELLS:
+        counts = np.bincount(row * len(found) + place, minlength=n_rows * len(found)).reshape(n_rows, -1)
+        for at in range(0, len(found), PAIRS):
+            vectors += counts[:, at : at + PAIRS].astype(np.float32) @ gram_vectors(places[at : at + PAIRS], turned).astype(np.float32)
+        return vectors, counts.sum(axis=1)
+    pairs, times = np.unique(row * len(found) + place, return_counts=True)
+    row, place = pairs // len(found), pairs % len(found)
+    for at in range(0, len(pairs), PAIRS):
+        r, t = row[at : at + PAIRS], times[at : at + PAIRS]
+        cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+        vectors[r[cuts]] += np.add.reduceat(gram_vectors(places[place[at : at + PAIRS]], turned) * t[:, None].astype(np.float32), cuts, axis=0)
+    np.add.at(grams, row, times)
+    return vectors, grams
+
+
+def _codes(text: str) -> np.ndarray:
+    return _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def _single(codes: np.ndarray) -> np.ndarray:
+    """Which codes stay if of every run of boundaries one does."""
+    keep = codes != 0
+    keep[1:] |= codes[:-1] != 0
+    return keep
+
+
+def _short(texts: list[str], rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    codes = _codes("".join(f"\0{x}\0" for x in texts))
     ends = np.cumsum([len(x) + 2 for x in texts])
-    letter = codes != 0
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
+    keep = _single(codes)
     keep[0] = keep[ends[:-1]] = True
-    codes = codes[keep].astype(np.int32)
-    ends = np.cumsum(keep)[ends - 1]
-    n = max(0, len(codes) - ORDER + 1)
-    grams = codes[:n].copy()
-    for i in range(1, ORDER):
-        grams *= LETTERS
-        grams += codes[i : n + i]
-    own = np.ones(n + ORDER, bool)
-    for i in range(1, ORDER):
-        own[np.maximum(ends - i, 0)] = False
-    grams = np.where(own[:n], grams, LETTERS**ORDER)
-    seen = np.bincount(grams, minlength=LETTERS**ORDER + 1)[:-1]
-    found = np.flatnonzero(seen)
-    place = np.full(LETTERS**ORDER + 1, len(found), np.int32)
-    place[found] = np.arange(len(found))
-    row = np.repeat(np.asarray(rows, np.int32) * (len(found) + 1), np.diff(ends, prepend=0))[:n]
-    row += place[grams]
-    counts = np.bincount(row, minlength=n_rows * (len(found) + 1)).reshape(n_rows, -1)[:, :-1]
-    return (counts.astype(np.float32) @ gram_vectors()[found].astype(np.float32)).astype(np.float64), counts.sum(axis=1)
+    return _bundle(codes[keep], np.cumsum(keep)[ends - 1], rows, n_rows)
+
+
+def _long(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """One text in pieces; each begins with the last ORDER - 1 codes before it."""
+    vectors, grams = np.zeros((1, DIM)), np.zeros(1, np.int64)
+    carried = np.zeros(1, np.uint32)
+    for at in range(0, len(text), BLOCK):
+        codes = np.concatenate((carried, _codes(text[at : at + BLOCK] + ("\0" if at + BLOCK >= len(text) else ""))))
+        keep = _single(codes)
+        keep[: len(carried)] = True
+        codes = codes[keep]
+        v, n = _bundle(codes, np.array([len(codes)]), np.zeros(1, np.int64), 1)
+        vectors += v
+        grams += n
+        carried = codes[1 - ORDER :]
+    return vectors, grams
 
 
 def text_vectors(texts: list[str], rows: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors, one a text or one for all texts of a row (whole numbers) and numbers of n-grams (0: no letter). Texts over BLOCK characters add up over their pieces."""
+    """Vectors, one a text or one for all texts of a row (whole numbers) and numbers of n-grams (0: no letter)."""
     rows = list(range(len(texts))) if rows is None else rows
     n_rows = max(rows, default=-1) + 1
     vectors, grams = np.zeros((n_rows, DIM)), np.zeros(n_rows, np.int64)
@@ -97,18 +160,22 @@ def text_vectors(texts: list[str], rows: list[int] | None = None) -> tuple[np.nd
         nonlocal size
         if group:
             own, at = np.unique([i for i, _ in group], return_inverse=True)
-            v, n = _vectors([x for _, x in group], at, len(own))
+            v, n = _short([x for _, x in group], at, len(own))
             vectors[own] += v
             grams[own] += n
         group.clear()
         size = 0
 
     for i, x in zip(rows, texts, strict=True):
-        for at in range(0, max(1, len(x)), BLOCK):
-            group.append((i, x[at : at + BLOCK]))
-            size += min(BLOCK, len(x) - at)
-            if size >= BLOCK or len(group) >= GROUP:
-                flush()
+        if len(x) > BLOCK:
+            v, n = _long(x)
+            vectors[i] += v[0]
+            grams[i] += n[0]
+            continue
+        group.append((i, x))
+        size += len(x)
+        if size >= BLOCK or len(group) >= GROUP:
+            flush()
     flush()
     return vectors, grams
 
