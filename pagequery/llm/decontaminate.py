@@ -9,10 +9,11 @@ serve, and WAND with the same maxima finds the items of the others. A retrieved
 ``overlap`` of the word shingles of its question, and of its answer, are in the passage.
 
 Items go to the tasks as one broadcast per shard of at most SHARD_BYTES of item text, whatever their number; a shard holds
-indexes of at most INDEX_BYTES, each with its own statistics.
+indexes of about INDEX_BYTES. Document frequencies and the mean length are those of all items, whatever shard or index an item is in.
 Tokens are runs of ASCII letters, digits and bytes from 0x80, A-Z lower-cased. Null or tokenless texts and items match
 nothing. An item's answer, where the table has no column for it, is its last sentence (last quarter of the words, if there is
-one sentence). Parts shorter than a shingle count as one shingle. Rows repeated whole give repeated rows.
+one sentence). Parts shorter than a shingle count as one shingle. Rows repeated whole give repeated rows; items that tie in score all count.
+Long texts are cut into passages and need memory for their tokens alone. Empty tables give empty results, other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, parts_for, pick, text_bytes
+from .common import map_text, parts_for, pick, text_bytes, written
 from .wordhash import ALNUM, LOWERED, hash_texts, window_hashes
 
 K1, B = 1.2, 0.75
@@ -72,18 +73,37 @@ def _shingles(text: str, width: int) -> tuple[np.ndarray, int]:
     return (np.unique(window_hashes(h, starts, width)[0]) if width else np.empty(0, np.uint64)), width
 
 
-def build_index(rows: list[tuple], width: int) -> Index:
-    """rows: (id, question, answer)."""
+@dataclass
+class Statistics:
+    """Of all items: their number, their mean length, and the number of items that hold each term (terms sorted by hash)."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Statistics:
+        h, starts = _tokens(texts)
+        pairs = np.unique(np.column_stack([h, np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(starts))]), axis=0)
+        terms, df = np.unique(pairs[:, 0], return_counts=True)
+        return Statistics(len(texts), len(h) / max(1, len(texts)), terms, df)
+
+
+def build_index(rows: list[tuple], width: int, stats: Statistics | None = None) -> Index:
+    """rows: (id, question, answer). stats: those of all items, of which rows may be a part."""
     rows = sorted(rows, key=lambda r: len(r[1] or "") + len(r[2] or ""))
-    h, starts = _tokens([f"{q or ''}\n{a or ''}" for _, q, a in rows])
+    whole = [f"{q or ''}\n{a or ''}" for _, q, a in rows]
+    stats = stats or Statistics.of(whole)
+    h, starts = _tokens(whole)
     lengths = np.diff(starts)
     item = np.repeat(np.arange(len(rows)), lengths)
     terms, term = np.unique(h, return_inverse=True)
     pairs, tf = np.unique(term * max(1, len(rows)) + item, return_counts=True)
     t, i = pairs // max(1, len(rows)), pairs % max(1, len(rows))
-    df = np.bincount(t, minlength=len(terms))
-    idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
-    weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / max(1.0, lengths.mean() if len(lengths) else 1.0)))
+    df = stats.df[np.searchsorted(stats.terms, terms)] if len(terms) else np.zeros(0, np.int64)
+    idf = np.log1p((stats.items - df + 0.5) / (df + 0.5))
+    weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / max(1.0, stats.mean)))
     own = np.bincount(i, weight, minlength=len(rows))
     weight = weight / own[i]
     first = np.searchsorted(t, np.arange(len(terms) + 1))
@@ -246,13 +266,36 @@ def _shards(items: DataFrame, width: int, item_key: str, question: str, answer:
     """Broadcast indexes of each shard, and the type of the item key."""
     names = [item_key, question] + ([answer] if answer else [])
     items = pick(items, *names)
+    spark = items.sparkSession
     shards = parts_for(text_bytes(items, question) + (text_bytes(items, answer) if answer else 0), SHARD_BYTES)
+    shard = F.pmod(F.xxhash64(*names), F.lit(shards)).cast("int")
     kind = items.schema[item_key].dataType.simpleString()
+
+    def terms(batches):
+        for b in batches:
+            shard, *texts = (c.to_pylist() for c in b.columns)
+            for s, q, *a in zip(shard, *texts, strict=True):
+                h, _ = _tokens(["\n".join((q or "", a[0] or "")) if answer else "\n".join(split_item(q or ""))])
+                found = np.unique(h).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found) + 1, s, np.int32)), pa.array([*found.tolist(), None], pa.int64()), pa.array([0] * len(found) + [len(h)], pa.int64())], names=["shard", "h", "length"])
+
+    # an item's row without a term has its length; what the driver gets of terms is what the shard's items hold
+    held = written(items.select(shard.alias("shard"), *names[1:]).mapInArrow(terms, "shard int, h bigint, length bigint"), "terms")
+    n, mean = held.filter("h IS NULL").agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
+    df = held.filter("h IS NOT NULL").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    known = written(held.filter("h IS NOT NULL").select("shard", "h").distinct().join(df, "h"), "frequencies")
     for s in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64(*names), F.lit(shards)) == s).collect()  # bounded by SHARD_BYTES
-        rows = [(r[0], *((r[1], r[2]) if answer else split_item(r[1] or ""))) for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))]
+        rows = items.filter(shard == s).collect()  # bounded by SHARD_BYTES
+        rows = [(r[0], *((r[1], r[2]) if answer else split_item(r[1] or ""))) for r in rows]
+        rows.sort(key=lambda r: (len(r[1] or "") + len(r[2] or ""), r[0] is None, r[0]))
+        own = known.filter(F.col("shard") == s).select("h", "df").toArrow()
+        h, count = own["h"].to_numpy().astype(np.int64).view(np.uint64), own["df"].to_numpy().astype(np.int64)
+        order = np.argsort(h)
+        stats = Statistics(n, mean, h[order], count[order])
+        # items of like length share an index, so that a long one makes no passage of short ones long
         parts = parts_for(sum(len(q or "") + len(a or "") for _, q, a in rows), INDEX_BYTES)
-        yield items.sparkSession.sparkContext.broadcast([build_index(rows[k::parts], width) for k in range(parts)]), kind
+        edges = [len(rows) * k // parts for k in range(parts + 1)]
+        yield spark.sparkContext.broadcast([build_index(rows[a:b], width, stats) for a, b in zip(edges, edges[1:], strict=False)]), kind
 
 
 def _scan(docs: DataFrame, shared, threshold: float, overlap: float, key: str, text: str, item_key: str, kind: str) -> DataFrame:
