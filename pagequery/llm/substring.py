@@ -5,12 +5,15 @@ any window of ``width`` words holds one whole. Blocks are the index, every rolli
 probe. A probe that meets a block elsewhere is a hit; hits extend to the windows of ``width`` words
 around them, whose 96-bit hashes decide, and runs of repeated windows are the maximal exact repeats.
 
-Texts are dealt to batches of about BATCH_BYTES by hash and kept as a bucketed table in the shared folder, so the
-three passes over them shuffle no text. What moves between batches and hash ranges is packed: a batch sends
+Texts are dealt to batches of about BATCH_BYTES and kept as a bucketed table in the shared folder, many batches a bucket, so the
+three passes over them shuffle no text. Rows are dealt by id, text and a salt from their place in the input, so rows repeated whole
+spread over all batches. What moves between batches and hash ranges is packed: a batch sends
 each different hash once (twice if it occurs more often), so a passage in a third of all texts
-costs a range one entry a batch. The number of ranges follows the number of words.
+costs a range one entry a batch. The numbers of batches and ranges follow the input without a cap; a batch sends at most a message a
+word. Only buckets stop at MAX_BUCKETS, Spark's own bound: beyond it a bucket holds more batches, which still are handled one by one.
 
-Null texts have no words. Rows repeated whole are documents of their own and repeat each other.
+Null texts have no words. Rows repeated whole are documents of their own and repeat each other. Texts shorter than a window keep all words; an
+empty table gives an empty result; other columns, whatever their names, are left out. A long text makes its batch as long as it is.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from .wordhash import WINDOW_BASE, hash_texts, window_hashes
 BATCH_BYTES = 4 << 20
 #: Bytes of text behind one hash range.
 RANGE_BYTES = 16 << 20
+#: Bytes of text in a bucket, and the most buckets of a table that Spark takes.
+BUCKET_BYTES = 16 << 20
+MAX_BUCKETS = 100_000
+SALTS = 1 << 20
 SECOND_BASE = 0xA0761D6478BD642F
 _PROBES = "bucket int, batch int, fine binary, low binary"
 _WINDOWS = "bucket int, batch int, k1 binary, k2 binary"
@@ -61,34 +68,48 @@ def _emit_probes(ranges: int, width: int, anchor: int):
         same = np.concatenate(([False], keys[1:] >> np.uint64(1) == keys[:-1] >> np.uint64(1)))
         third = np.concatenate((same[:2] & False, same[2:] & same[1:-1])) if len(keys) > 2 else np.zeros(len(keys), bool)
         keys = keys[~third]
-        fine = (keys >> np.uint64(32)).astype(np.int64)
-        edges = np.arange(ranges + 1) * 65536 // ranges
-        cuts = np.searchsorted(fine, edges)
+        edges = _edges(ranges)
+        cuts = np.searchsorted(keys, edges << np.uint64(1))
+        cuts[-1] = len(keys)
         out: list[tuple] = []
         batch = table.column("batch")[0].as_py()
         for k in range(ranges):
             own = slice(cuts[k], cuts[k + 1])
             if cuts[k + 1] > cuts[k]:
-                counts = np.bincount(fine[own] - edges[k], minlength=edges[k + 1] - edges[k])
-                out.append((k, batch, counts.astype(np.uint32).tobytes(), (keys[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()))
+                out.append((k, batch, *_pack(keys[own])))
         return _rows(out, ["bucket", "batch", "fine", "low"])
 
     return run
 
 
+def _edges(ranges: int) -> np.ndarray:
+    """Where each range of 47-bit hashes begins; the last ends at 2**47."""
+    return np.array([(k << 47) // ranges for k in range(ranges + 1)], np.uint64)
+
+
+def _pack(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted 48-bit numbers as runs (upper 16 bits and how many share them) and lower 32 bits."""
+    top = (keys >> np.uint64(32)).astype(np.uint32)
+    cuts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+    runs = np.column_stack([top[cuts], np.diff(np.append(cuts, len(keys)))]).astype(np.uint32)
+    return runs.tobytes(), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+
+
+def _unpack(fine: bytes, low: bytes) -> np.ndarray:
+    runs = np.frombuffer(fine, np.uint32).reshape(-1, 2)
+    return np.repeat(runs[:, 0].astype(np.uint64), runs[:, 1]) << np.uint64(32) | np.frombuffer(low, np.uint32)
+
+
 def _rows(out: list[tuple], names: list[str]) -> pa.Table:
     kinds = {"bucket": pa.int32(), "batch": pa.int32()}
     return pa.table({n: pa.array([r[i] for r in out], kinds.get(n, pa.binary())) for i, n in enumerate(names)})
 
 
-def _match(ranges: int):
+def _match():
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        lo = bucket * 65536 // ranges
         keys, sizes = [], []
         for fine, low in zip(table.column("fine").to_pylist(), table.column("low").to_pylist(), strict=True):
-            counts = np.frombuffer(fine, np.uint32)
-            keys.append(np.repeat(np.arange(len(counts), dtype=np.uint64) + np.uint64(lo), counts) << np.uint64(32) | np.frombuffer(low, np.uint32))
+            keys.append(_unpack(fine, low))
             sizes.append(len(keys[-1]))
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
@@ -144,7 +165,8 @@ def _emit_windows(ranges: int, width: int, anchor: int):
         keep = np.ones(len(k1), bool)
         keep[2:] = (k1[2:] != k1[:-2]) | (k2[2:] != k2[:-2])
         k1, k2 = k1[keep], k2[keep]
-        cuts = np.searchsorted(k1 >> np.uint64(48), np.arange(ranges + 1) * 65536 // ranges)
+        cuts = np.searchsorted(k1 >> np.uint64(17), _edges(ranges))
+        cuts[-1] = len(k1)
         batch = table.column("batch")[0].as_py()
         out = [(k, batch, k1[a:b].tobytes(), k2[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         return _rows(out, ["bucket", "batch", "k1", "k2"])
@@ -205,12 +227,12 @@ def _mark(keys: list[str], width: int):
     return run
 
 
-def _dealt(docs: DataFrame, key: str, text: str, batches: int) -> DataFrame:
+def _dealt(docs: DataFrame, key: str, text: str, batches: int, buckets: int) -> DataFrame:
     """docs by batch, as a bucketed table: later passes read a batch together without a shuffle."""
     spark = docs.sparkSession
     name = f"substring_{uuid.uuid4().hex}"
-    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(batches)).cast("int").alias("batch"), key, F.col(text).alias("text"))
-    rows.repartition(batches, "batch").write.bucketBy(batches, "batch").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    rows = docs.select(F.pmod(F.xxhash64(F.col(key), F.col(text), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), F.lit(batches)).cast("int").alias("batch"), key, F.col(text).alias("text"))
+    rows.repartition(buckets, "batch").write.bucketBy(buckets, "batch").sortBy("batch").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
 
@@ -229,10 +251,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
     docs = pick(docs, key, text)
     anchor = (width + 1) // 2
     total = text_bytes(docs, text)
-    batches, ranges = parts_for(total, BATCH_BYTES), min(65536, parts_for(total, RANGE_BYTES))
-    dealt = _dealt(docs, key, text, batches)
+    batches, ranges = parts_for(total, BATCH_BYTES), parts_for(total, RANGE_BYTES)
+    dealt = _dealt(docs, key, text, batches, min(batches, MAX_BUCKETS, parts_for(total, BUCKET_BYTES)))
     probes = dealt.groupBy("batch").applyInArrow(_emit_probes(ranges, width, anchor), _PROBES)
-    hits = written(probes.groupBy("bucket").applyInArrow(_match(ranges), "batch int, keys binary"), "hits")
+    hits = written(probes.groupBy("bucket").applyInArrow(_match(), "batch int, keys binary"), "hits")
     windows = dealt.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(_emit_windows(ranges, width, anchor), _WINDOWS)
     found = written(windows.groupBy("bucket").applyInArrow(_repeated, "batch int, k1 binary, k2 binary"), "repeats")
     kind = docs.schema[key].dataType.simpleString()
