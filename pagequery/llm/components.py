@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating star contractions in DataFrame joins.
 
 Each round replaces the links of every node by links to the smallest neighbour; a node's neighbours are
-never gathered: the smallest comes from a partial aggregate, and the join that hands it out is one that
-Spark may split where a hub is hot. Every round is written to the shared folder, so lineage stays short and a lost
+never gathered: the smallest comes from a partial aggregate and is written first, so the join that hands it out has plain exchanges
+on both sides, which Spark splits where a hub is hot. Every round is written to the shared folder, so lineage stays short and a lost
 executor costs one round at most.
 """
 
@@ -16,13 +16,13 @@ from .common import written
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
     return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """links: u > v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") > F.col("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -176,24 +176,6 @@ def close_pairs(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarr
     return order[moved], order[label[moved]]
 
 
-def small_pairs(unit: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of links within many small units at once (equal numbers in unit stand together): each row against the k-th next, for k = 1, 2, ..."""
-    left, right = [], []
-    at = np.arange(len(fp) - 1)
-    k = 1
-    while len(at):
-        at = at[at + k < len(fp)]
-        at = at[unit[at] == unit[at + k]]
-        near = at[distance(fp[at], fp[at + k]) <= radius]
-        left.append(near)
-        right.append(near + k)
-        k += 1
-    return np.concatenate(left or [at]), np.concatenate(right or [at])
-
-
-SMALL = 128
-
-
 def _compare(radius: int, words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -201,11 +183,8 @@ def _compare(radius: int, words: int):
         def links(rows: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
             cuts = np.concatenate(([0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1, [len(rows)]))
             sizes = np.diff(cuts)
-            number = np.repeat(np.arange(len(sizes)), sizes)
-            is_small = (sizes <= SMALL) & (rows[cuts[:-1], 3] == 2)
-            little = np.flatnonzero(np.repeat(is_small, sizes))
-            found = [tuple(little[x] for x in small_pairs(number[little], bits[little], radius))]
-            for k in np.flatnonzero(~is_small):
+            found = [(np.empty(0, np.int64),) * 2]
+            for k in np.flatnonzero(sizes > 1):
                 own = slice(cuts[k], cuts[k + 1])
                 found.append(tuple(x + cuts[k] for x in close_pairs(bits[own], rows[own, 3], radius)))
             u, v = (rows[np.concatenate([x[s] for x in found]), 4] for s in (0, 1))
