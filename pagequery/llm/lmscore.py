@@ -1,26 +1,30 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
 Tokens are words, A-Z lower-cased, and one end a text. Symbols of the model are the SYMBOLS most frequent tokens and CLASSES
-classes of all others by the top bits of their hash, which say nothing of their form; a token outside the symbols has its class's probability times its own
+classes of all others by how frequent they are: bands of ranks, each twice as long as the one before, and one class of all that is rarer than
+the NEAR most frequent or unseen; a token outside the symbols has its class's probability times its own
 smoothed share of the class, so a text's probability is over all tokens and sums to one. The model predicts a
 symbol from the one before: exp(R[u] C . Q[v] + b[v]), normalised over all symbols by one
 matrix product for all contexts.
 
-Corpus statistics cover every training row: token counts, and counts of neighbouring symbols (at most the square of the number of
-symbols), which are all the model learns from, so training costs the same for any corpus. Tokens beyond the
+Corpus statistics cover every training row: the counts of all tokens, a table that grows with the corpus, and counts of neighbouring symbols, which are all
+the model learns from. There are at most the square of the number of symbols of the latter; training makes EPOCHS passes over as many pairs as were
+found different, so steps follow what the corpus holds until all pairs have been seen. Tokens beyond the
 NEAR most frequent are looked up by a join; none of them is frequent enough to be a hot key. A token is
 known by a 64-bit hash.
 
-A null text is empty: its end token alone. With nothing to learn from, counts are zero and the model is uniform.
+A null text is empty: its end token alone. With nothing to learn from, counts are zero and the model is uniform. Rows repeated whole each get a row
+(the join is by partition and row number); equally frequent tokens rank by hash; an empty table gives an empty result; other columns, whatever
+their names, are left out. A long text goes through in blocks and needs memory for its token hashes.
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +32,14 @@ from .common import map_text, pick, written
 from .wordhash import LOWERED, WORDS, hash_texts
 
 SYMBOLS = 2032
-CLASSES = 16
 NEAR = 1 << 17
+#: Bands of ranks from SYMBOLS to NEAR, and the class of all other tokens.
+CLASSES = 8
 DIM = 48
 NOISE = 256
+#: Steps at least, and draws for each different pair.
 STEPS = 1500
+EPOCHS = 1.0
 BATCH = 1024
 SEED = 97
 END = np.uint64(0x0123456789ABCDEF)
@@ -50,20 +57,15 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts + np.arange(len(starts))
 
 
-def classes_of(h: np.ndarray) -> np.ndarray:
-    """The class of a token outside the symbols."""
-    return (h >> np.uint64(60)).astype(np.int64)
-
-
 @dataclass
 class Counts:
-    """Bounded parts of the corpus counts: the NEAR most frequent tokens (sorted by hash) and totals, by class for tokens outside the symbols."""
+    """Bounded parts of the corpus counts: the NEAR most frequent tokens (sorted by hash) with their symbol or class, and totals by class for tokens outside the symbols."""
 
     total: int
     distinct: int
     near: np.ndarray
     near_count: np.ndarray
-    symbols: np.ndarray
+    symbols: int
     symbol_of: np.ndarray
     class_total: np.ndarray
     class_distinct: np.ndarray
@@ -72,13 +74,13 @@ class Counts:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbol or class number, count, and whether the token is in near."""
+        """Symbol or class number (the last is that of tokens outside near), count, and whether the token is in near."""
+        rest = self.symbols + CLASSES - 1
         if not len(self.near):
-            return len(self.symbols) + classes_of(h), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+            return np.full(len(h), rest), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         at = np.minimum(np.searchsorted(self.near, h), len(self.near) - 1)
         known = self.near[at] == h
-        symbol = np.where(known, self.symbol_of[at], -1)
-        return np.where(symbol >= 0, symbol, len(self.symbols) + classes_of(h)), np.where(known, self.near_count[at], 0), known
+        return np.where(known, self.symbol_of[at], rest), np.where(known, self.near_count[at], 0), known
 
 
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -106,23 +108,21 @@ def bounded_counts(counts: DataFrame, symbols: int = SYMBOLS, near: int = NEAR)
     h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
     order = np.lexsort((h, -c))
     h, c = h[order], c[order]
-    chosen = h[:symbols]
-    number = np.full(len(h), -1, np.int64)
-    number[:symbols] = np.arange(len(chosen))
+    rank = np.arange(len(h))
+    own = min(symbols, len(h))
+    band = np.minimum(np.log2(rank // max(1, symbols) + 1e-9).astype(np.int64).clip(0), CLASSES - 2)
+    number = np.where(rank < own, rank, own + band)
+    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = (np.bincount(band[own:], w, CLASSES).astype(np.int64) for w in (c[own:], None))
+    total[-1], distinct[-1] = whole["c"] - c.sum(), whole["v"] - len(h)
     order = np.argsort(h)
-    by = counts.groupBy(F.shiftrightunsigned("h", 60).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    total, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in by:
-        total[r["k"]], distinct[r["k"]] = r["c"], r["v"]
-    whole = int(total.sum()), int(distinct.sum())
-    own = classes_of(chosen)
-    return Counts(*whole, h[order], c[order], chosen, number[order], total - np.bincount(own, c[:symbols], CLASSES).astype(np.int64), distinct - np.bincount(own, minlength=CLASSES))
+    return Counts(whole["c"], whole["v"], h[order], c[order], own, number[order], total, distinct)
 
 
 def count_pairs(docs: DataFrame, counts: Counts, text: str = "text") -> DataFrame:
     """pair (number of the earlier symbol * all symbols + the later one) and n; a text begins after an end."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    size = len(counts.symbols) + CLASSES
+    size = counts.symbols + CLASSES
 
     def run(batches):
         counts = shared.value
@@ -200,6 +200,7 @@ def _known_part(docs: DataFrame, counts: Counts, model: Model, key: tuple[str, .
     def make():
         counts, model = shared.value
         table = model.log_probabilities()
+        row = TaskContext.get().partitionId() << 40
 
         def f(texts, _):
             cols: dict[str, list] = {k: [] for k in ("n_tokens", "n_near", "base", "lm")}
@@ -208,8 +209,8 @@ def _known_part(docs: DataFrame, counts: Counts, model: Model, key: tuple[str, .
                 h, starts = tokens(texts[at : at + GROUP])
                 symbol, c, known = counts.look_up(h)
                 before = np.concatenate((counts.look_up(np.array([END]))[0], symbol[:-1]))
-                k = np.maximum(symbol - len(counts.symbols), 0)
-                rare = symbol >= len(counts.symbols)
+                k = np.maximum(symbol - counts.symbols, 0)
+                rare = symbol >= counts.symbols
                 share = np.log10((c + 0.5) / (counts.class_total[k] + 0.5 * (counts.class_distinct[k] + 1)))
                 first = starts[:-1]
                 cols["n_tokens"].append(np.diff(starts))
@@ -229,7 +230,9 @@ def _known_part(docs: DataFrame, counts: Counts, model: Model, key: tuple[str, .
             out = {k: pa.array(np.concatenate(v)) for k, v in cols.items()}
             out["far"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(far).view(np.int64)))
             out["times"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times).astype(np.int32)))
-            out["row"] = pa.array(np.frombuffer(os.urandom(8 * len(texts)), np.int64))
+            nonlocal row
+            out["row"] = pa.array(row + np.arange(len(texts)))
+            row += len(texts)
             return out
 
         return f
@@ -242,17 +245,17 @@ def score_texts(docs: DataFrame, learn: DataFrame, key: tuple[str, ...] = ("doc_
     table = written(count_tokens(learn, text), "counts")
     counts = bounded_counts(table, symbols, near)
     pairs = count_pairs(learn, counts, text).toArrow()  # at most the square of the number of symbols
-    model = train(pairs["pair"].to_numpy(), pairs["n"].to_numpy(), len(counts.symbols) + CLASSES, steps)
+    model = train(pairs["pair"].to_numpy(), pairs["n"].to_numpy(), counts.symbols + CLASSES, max(steps, int(EPOCHS * pairs.num_rows) // BATCH))
     del pairs
     rows = written(_known_part(docs, counts, model, key, text), "scored")
     far = rows.select("row", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", F.col("x.far").alias("h"), F.col("x.times").alias("n"))
     found = far.join(table, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sizes = F.array(*[F.lit(float(t + 0.5 * (v + 1))) for t, v in zip(counts.class_total, counts.class_distinct, strict=True)])
+    rest = float(counts.class_total[-1] + 0.5 * (counts.class_distinct[-1] + 1))
     whole = counts.total + 0.5 * (counts.distinct + 1)
     sums = found.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(whole))).alias("far_base"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.get(sizes, F.shiftrightunsigned("h", 60).cast("int")))).alias("far_lm"),
+        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(rest))).alias("far_lm"),
     )
     none = F.lit(0.0)
     return rows.join(sums, "row", "left").select(
