@@ -9,6 +9,9 @@ a temperature fitted on rows held back from training calibrates its probabilitie
 
 Null and empty texts have the zero features of no token and get the network's answer for them. Rows without a label,
 or with one that is neither 0 nor 1, teach nothing; with no labelled row of both kinds every score is the share of label 1 (0.5 for none).
+Tokens are pooled CHUNK at a time, so a worker's memory holds a long text and its token numbers, never its vectors. Rows repeated whole get
+equal scores; repeats of a labelled id count as one row (the largest label, the smallest features). Other columns of docs, whatever their names, are left out;
+an empty table gives an empty result. Equal texts tie: they have equal scores.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ MAX_LABELLED = 20_000
 SEED = 1234567
 #: Word vectors that one packed block holds.
 BLOCK_ROWS = 512
+#: Tokens that are pooled, and whose neighbours are counted, at once.
+CHUNK = 2048
+CONTEXTS = 1 << 18
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -50,16 +56,17 @@ def buckets_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def add_contexts(bucket: np.ndarray, starts: np.ndarray, sums: np.ndarray) -> None:
     """Adds to sums (BUCKETS * DIM) what neighbours within one text give."""
     place, sign = _index_vectors()
-    pairs = np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    for lag in range(1, WINDOW + 1):
-        ok = text[lag:] == text[:-lag]
-        a, b = bucket[:-lag][ok], bucket[lag:][ok]
-        pairs = np.concatenate((pairs, a * BUCKETS + b, b * BUCKETS + a))
-    pairs, n = np.unique(pairs, return_counts=True)
-    word, other = pairs // BUCKETS, pairs % BUCKETS
-    for k in range(NONZERO):
-        sums += np.bincount(word * DIM + place[other, k], n * sign[other, k], minlength=len(sums)).astype(np.int64)
+    for at in range(0, len(bucket), CONTEXTS):
+        own = bucket[at : at + CONTEXTS + WINDOW]
+        text = np.searchsorted(starts, np.arange(at, at + len(own)), "right")
+        pairs = np.zeros(0, np.int64)
+        for lag in range(1, WINDOW + 1):
+            a, b, ok = own[:-lag][:CONTEXTS], own[lag:][:CONTEXTS], (text[lag:] == text[:-lag])[:CONTEXTS]
+            pairs = np.concatenate((pairs, a[ok] * BUCKETS + b[ok], b[ok] * BUCKETS + a[ok]))
+        pairs, n = np.unique(pairs, return_counts=True)
+        word, other = pairs // BUCKETS, pairs % BUCKETS
+        for k in range(NONZERO):
+            sums += np.bincount(word * DIM + place[other, k], n * sign[other, k], minlength=len(sums)).astype(np.int64)
 
 
 def pack(sums: np.ndarray) -> bytes:
@@ -104,20 +111,29 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def pool(bucket: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """A row a text: mean and standard deviation of its tokens' vectors, and the mean product of each with the next."""
-    out = np.zeros((len(starts) - 1, POOLED), np.float32)
+    out = np.zeros((len(starts) - 1, POOLED), np.float64)
     n = np.diff(starts)
     some = np.flatnonzero(n)
+    first, last = starts[some], starts[some + 1] - 1
+    for at in range(0, len(bucket), CHUNK):  # few enough tokens for their vectors to stay in the cache
+        v = vectors[bucket[at : at + CHUNK + 1]]
+        next_to = v[:CHUNK].copy()
+        next_to[: len(v) - 1] *= v[1:]
+        v = v[:CHUNK]
+        a, z = np.searchsorted(last, at), np.searchsorted(first, at + len(v))
+        ends = last[a:z] - at
+        next_to[ends[ends < len(v)]] = 0  # a text's last token has no next
+        cuts, rows = np.maximum(first[a:z] - at, 0), some[a:z]
+        out[rows, :DIM] += np.add.reduceat(v, cuts, axis=0)
+        out[rows, 2 * DIM :] += np.add.reduceat(next_to, cuts, axis=0)
+        np.square(v, out=next_to)
+        out[rows, DIM : 2 * DIM] += np.add.reduceat(next_to, cuts, axis=0)
     if len(some):
-        v = vectors[bucket].astype(np.float32)
-        mean = np.add.reduceat(v, starts[some], axis=0) / n[some, None]
+        mean = out[some, :DIM] / n[some, None]
+        out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(out[some, DIM : 2 * DIM] / n[some, None] - mean**2, 0))
+        out[some, 2 * DIM :] /= np.maximum(n[some, None] - 1, 1)
         out[some, :DIM] = mean
-        next_to = np.zeros_like(v)
-        np.multiply(v[:-1], v[1:], out=next_to[:-1])
-        next_to[starts[some + 1] - 1] = 0  # a text's last token has no next
-        out[some, 2 * DIM :] = np.add.reduceat(next_to, starts[some], axis=0) / np.maximum(n[some, None] - 1, 1)
-        np.square(v, out=v)
-        out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v, starts[some], axis=0) / n[some, None] - mean**2, 0))
-    return out
+    return out.astype(np.float32)
 
 
 def features(docs: DataFrame, vectors: np.ndarray, key: tuple[str, ...], text: str = "text") -> DataFrame:
@@ -198,10 +214,10 @@ def sample_labels(labels: DataFrame, key: str = "doc_id", label: str = "quality"
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Network:
-    """Features leave the tasks for the sampled rows alone: their ids, at most max_labelled, are broadcast."""
+    """Features leave the tasks for the sampled rows alone: their ids, at most max_labelled, are broadcast, and a row an id comes back."""
     marks = sample_labels(labels, key, label, max_labelled)
-    rows = pick(docs, key, text).join(F.broadcast(marks), key)
-    sample = features(rows, vectors, ("y",), text).collect()
+    rows = pick(docs, key, text).join(F.broadcast(marks), key).select(F.col(key).alias("_k"), "y", text)
+    sample = features(rows, vectors, ("_k", "y"), text).groupBy("_k").agg(F.max("y").alias("y"), F.min("f").alias("f")).select("y", "f").collect()
     sample.sort(key=lambda r: (bytes(r["f"]), r["y"]))
     x = np.array([np.frombuffer(r["f"], np.float32) for r in sample], np.float64).reshape(len(sample), POOLED)
     return train(x, np.array([r["y"] for r in sample], np.float64))
