@@ -8,8 +8,11 @@ reaches the k-th best lower bound is scored exactly on the original vectors in d
 
 All rows are indexed; nothing is trained. Index and queries lie in blocks of bounded size; every query
 block meets every index block, and a pair of blocks returns k rows per query, so the merge sees k rows per query and block.
+Blocks are large, so that a byte of vectors moves once for a few hundred bounds that are worked out.
 Vectors that are null, zero, or hold null or non-finite components take no part; neither do null
-ids. Vectors of different lengths never meet. Rows repeated under one id each count as a candidate; a query never meets its own id.
+ids. Cosines are taken on vectors scaled by a power of two, which changes no digit and keeps squares finite. Vectors of different
+lengths never meet. Rows that share an id each are a candidate, and each a query of its own with its own ranks; a query never meets its own row. Ties go to
+the smaller id. Empty tables give empty results; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, written
@@ -28,7 +32,7 @@ EPSILON = 3.0
 QUERY_BITS = 6
 #: Bytes of vectors in an index block and a query block.
 BLOCK_BYTES = 1 << 20
-QUERY_BYTES = 1 << 17
+QUERY_BYTES = 1 << 20
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -38,7 +42,7 @@ def rotation(dim: int) -> np.ndarray:
 
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign bits (rows of uint64 words, padded with zeros) and correction scalars."""
-    dim = vectors.shape[1]
+    dim, vectors = vectors.shape[1], scaled(vectors)
     turned = (vectors / np.linalg.norm(vectors, axis=1)[:, None]) @ rotation(dim).T
     bits = np.zeros((len(vectors), -(-dim // 64) * 64), np.uint8)
     bits[:, :dim] = turned > 0
@@ -65,49 +69,57 @@ def estimates(codes: np.ndarray, corrections: np.ndarray, turned: np.ndarray) ->
     return inner / corrections, error / corrections
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component to 0.5 to 1."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """In double precision on the original components."""
+    """In double precision on the original components, scaled."""
+    query, vectors = scaled(query), scaled(vectors)
     return (vectors @ query) / (np.linalg.norm(vectors, axis=1) * np.linalg.norm(query))
 
 
 def _blocks(size: int):
-    """Rows (id, vector) -> blocks of one vector length: length, ids and vectors as packed bytes."""
+    """Rows (id, vector, asked) -> blocks of one vector length: length, row numbers, ids, marks of queries and vectors as packed bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
 
-        def block(dim: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            ids, vectors = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])], names=["dim", "ids", "vectors"])
+        def block(dim: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            cols = [pa.array([np.concatenate(x).tobytes()]) for x in zip(*parts, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *cols], names=["dim", "rows", "ids", "asked", "vectors"])
 
         for b in batches:
             ids, lists = b.column(0), b.column(1)
+            asked = b.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
             ends = np.concatenate(([0], np.cumsum(np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64))))
             flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
             lengths = np.diff(ends)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             for dim in np.unique(lengths[lengths > 0]).tolist():
                 rows = np.flatnonzero((lengths == dim) & known)
-                if not len(rows):
-                    continue
-                own = ids.take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64)
                 v = flat[ends[rows][:, None] + np.arange(dim)]
-                norms = np.linalg.norm(v, axis=1)
-                ok = np.isfinite(v).all(axis=1) & np.isfinite(norms) & (norms > 0)
+                ok = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+                rows, v = rows[ok], v[ok]
+                own = ids.take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64)
                 each = max(1, size // (8 * dim))
-                ids_ok, v_ok = own[ok], v[ok]
-                for at in range(0, len(v_ok), each):
+                for at in range(0, len(v), each):
                     parts = held.setdefault(dim, [])
-                    parts.append((ids_ok[at : at + each], v_ok[at : at + each]))
+                    one = slice(at, at + each)
+                    parts.append((number + rows[one], own[one], asked[rows[one]], v[one]))
                     if sum(len(x[0]) for x in parts) >= each:
                         yield block(dim, held.pop(dim))
+            number += len(ids)
         for dim, parts in held.items():
             yield block(dim, parts)
 
     return run
 
 
-BLOCK_SCHEMA = "dim int, ids binary, vectors binary"
+BLOCK_SCHEMA = "dim int, rows binary, ids binary, asked binary, vectors binary"
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -124,25 +136,26 @@ def _search(k: int):
         for b in batches:
             for r in b.to_pylist():
                 dim = r["dim"]
-                ids, v = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
+                rows, ids, v = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
                 codes, corrections = np.frombuffer(r["codes"], np.uint64).reshape(len(ids), -1), np.frombuffer(r["corrections"], np.float64)
-                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"], np.float64).reshape(-1, dim)
-                turned = (q / np.linalg.norm(q, axis=1)[:, None]) @ rotation(dim).T
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                q_rows, q_ids, q = np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"], np.float64).reshape(-1, dim)
+                unit = scaled(q)
+                turned = (unit / np.linalg.norm(unit, axis=1)[:, None]) @ rotation(dim).T
+                out: list[tuple[np.ndarray, ...]] = []
                 for first in range(0, len(q_ids), 32):
-                    group = q_ids[first : first + 32]
-                    other = ids[None, :] != group[:, None]
+                    group = q_rows[first : first + 32]
+                    other = rows[None, :] != group[:, None]
                     guess, error = estimates(codes, corrections, turned[first : first + 32])
                     lower = np.where(other, guess - error, -np.inf)
                     floor = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(group), -np.inf)
                     hits = other & (guess + error >= floor[:, None])
                     for i, own in enumerate(group.tolist()):
                         at = np.flatnonzero(hits[i])
-                        scores = cosines(q[first + i], v[at])
+                        scores = cosines(q[first + i], v[at]) if len(at) else np.empty(0)
                         top = best(ids[at], scores, k)
-                        out.append((np.full(len(top), own), ids[at][top], scores[top]))
+                        out.append((np.full(len(top), own), np.full(len(top), q_ids[first + i]), ids[at][top], scores[top]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(4)], names=["q_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -151,28 +164,52 @@ def _codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
             codes, corrections = encode(np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["dim"]], pa.int32()), *[pa.array([x]) for x in (r["ids"], r["vectors"], codes.tobytes(), corrections.astype(np.float64).tobytes())]],
-                names=["dim", "ids", "vectors", "codes", "corrections"],
-            )
+            more = {"codes": codes.tobytes(), "corrections": corrections.astype(np.float64).tobytes()}
+            cols = {k: v for k, v in r.items() if k not in ("dim", "asked")} | more
+            yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), *[pa.array([x]) for x in cols.values()]], names=["dim", *cols])
+
+
+def _queries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block the rows that ask."""
+    for b in batches:
+        for r in b.to_pylist():
+            own = np.frombuffer(r["asked"], np.uint8) == 1
+            if own.any():
+                kept = [np.frombuffer(r["rows"], np.int64)[own], np.frombuffer(r["ids"], np.int64)[own], np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"])[own]]
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), *[pa.array([x.tobytes()]) for x in kept]], names=["dim", "q_rows", "q_ids", "q_vectors"])
 
 
-def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    rows = pick(vectors, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    blocks = rows.mapInArrow(_blocks(BLOCK_BYTES), BLOCK_SCHEMA)
-    return written(blocks.mapInArrow(_codes, BLOCK_SCHEMA + ", codes binary, corrections binary"), "vectors")
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries put together to blocks of about QUERY_BYTES."""
+    held: dict[int, list[tuple]] = {}
 
+    def block(dim: int) -> pa.RecordBatch:
+        parts = held.pop(dim)
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([b"".join(x)]) for x in zip(*parts, strict=True)]], names=["dim", "q_rows", "q_ids", "q_vectors"])
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest rows of vectors but those with its own id."""
-    index = build_index(vectors, key, vector)
-    asked = pick(queries, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    asked = written(asked.mapInArrow(_blocks(QUERY_BYTES), BLOCK_SCHEMA), "queries").select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    for b in batches:
+        for r in b.to_pylist():
+            held.setdefault(r["dim"], []).append((r["q_rows"], r["q_ids"], r["q_vectors"]))
+            if sum(len(x[2]) for x in held[r["dim"]]) >= QUERY_BYTES:
+                yield block(r["dim"])
+    for dim in list(held):
+        yield block(dim)
+
+
+def nearest(vectors: DataFrame, asked: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row of vectors that meets asked (a condition on the key), its k nearest other rows."""
+    spark = vectors.sparkSession
+    rows = pick(vectors, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), asked.alias("asked"))
+    blocks = written(rows.mapInArrow(_blocks(BLOCK_BYTES), BLOCK_SCHEMA), "blocks")
+    index = blocks.mapInArrow(_codes, "dim int, rows binary, ids binary, vectors binary, codes binary, corrections binary")
+    q_schema = "dim int, q_rows binary, q_ids binary, q_vectors binary"
+    # dealt by length into few tasks, so that blocks of queries are as large as they may be
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = blocks.mapInArrow(_queries, q_schema)
+    queries = written(few.repartition(parts, F.pmod(F.xxhash64("q_rows"), F.lit(max(1, parts // 4)))).mapInArrow(_joined, q_schema), "queries")
     # rows here are blocks: each query block goes to every part of the index once
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    pairs = spread.join(asked, ["part", "dim"])
-    found = pairs.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    everywhere = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = spread.join(everywhere, ["part", "dim"]).mapInArrow(_search(k), "q_row bigint, query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,8 +8,9 @@ sends one partial count per hash on. Documents get back run-length-coded keep bi
 
 A key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Keys shorter than
 min_chars code points (blank lines) are never dropped. A null text is one empty line.
-Documents are told apart by id and text together: rows repeated whole count as one document and get
-the same bitmap; a null id is an id like another.
+A document is an id: rows that share one count as one document, whatever their texts, and each loses its own lines; null is an id like
+another. Rows repeated whole get the same bitmap. Other columns than those asked for are left out; an empty table gives an empty result. A
+whole-number id is told apart exactly (its hash is a permutation), any other by 64 bits.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ def line_key(line: Column) -> Column:
 
 
 def _doc_key(key: str, text: str) -> list[Column]:
-    return [F.xxhash64(F.col(key), F.col(text)).alias("_d1"), F.hash(F.col(text), F.col(key)).alias("_d2")]
+    return [F.xxhash64(F.col(key)).alias("_d1"), F.xxhash64(F.col(text)).alias("_d2")]
 
 
 def line_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 1) -> DataFrame:
-    """One row per countable line: document hash (_d1, _d2), key hash (h1, h2), position."""
+    """One row per countable line: document (_d1, of the id; _d2, of the text), key hash (h1, h2), position."""
     keys = F.transform(lines_of(F.col(text)), line_key)
     rows = docs.select(*_doc_key(key, text), F.posexplode(keys).alias("pos", "_k")).filter(F.char_length("_k") >= min_chars)
     return rows.select("_d1", "_d2", F.xxhash64("_k").alias("h1"), F.hash("_k").alias("h2"), "pos")
@@ -47,7 +48,7 @@ def line_counts(lines: DataFrame) -> DataFrame:
     """h1, h2, documents that hold it, and the first of them with the position there (in hash order of documents)."""
     ranged = lines.withColumn("_salt", F.pmod("_d1", F.lit(SALTS))).repartitionByRange("h1", "h2", "_salt")
     stream = Window.partitionBy("h1", "h2", "_salt").orderBy("_d1", "_d2", "pos")
-    same = F.lag("_d1").over(stream).eqNullSafe(F.col("_d1")) & F.lag("_d2").over(stream).eqNullSafe(F.col("_d2"))
+    same = F.lag("_d1").over(stream).eqNullSafe(F.col("_d1"))
     firsts = ranged.withColumn("_again", same).filter(~F.col("_again"))
     return firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("_d1", "_d2", "pos")).alias("first"))
 
