@@ -37,10 +37,49 @@ def test_language_vectors_add_up(monkeypatch):
     each, n = langid.text_vectors(texts)
     joined, m = langid.text_vectors(texts, [0, 0, 0, 0])
     assert (each.sum(axis=0) == joined[0]).all() and n.sum() == m[0] and n[2] == 0
-    # a bound trigram by hand
-    base = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.LETTERS, langid.DIM))
-    three = np.roll(np.roll(base[0], 1) * base[1], 1) * base[0]
-    assert (langid.text_vectors(["a"])[0][0] == three).all()
+    edge, a = (langid.letter_vectors(np.array([c]))[0] for c in (0, ord("a")))
+    assert (langid.text_vectors(["A"])[0][0] == np.roll(np.roll(edge, 1) * a, 1) * edge).all()
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    long, k = langid.text_vectors(texts)
+    assert (long == each).all() and (k == n).all()
+
+
+def bundle_by_hand(text):
+    letters = []
+    for c in f"\0{text or ''}\0":
+        k = ord(c.lower()[0]) if c.isalpha() else 0
+        if k or not letters or letters[-1]:
+            letters.append(k)
+    of = {k: langid.letter_vectors(np.array([k]))[0].astype(int) for k in set(letters)}
+    v = [np.roll(of[a], 2) * np.roll(of[b], 1) * of[c] for a, b, c in zip(letters, letters[1:], letters[2:])]
+    return np.sum(v, axis=0) if v else np.zeros(langid.DIM, int)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 8])
+def test_language_against_all_cosines(spark, monkeypatch, cells):
+    """The registered query's prototypes and predictions on a table, by hand."""
+    monkeypatch.setattr(langid, "CELLS", cells)
+    monkeypatch.setattr(langid, "PAIRS", 100)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    texts = [r["text"] for r in rows] + ["Ünïcode žluťoučký 中文字 и кириллица", None, "12"]
+    v, grams = langid.text_vectors([t or "" for t in texts])
+    by_hand = np.array([bundle_by_hand(t) for t in texts])
+    assert (v == by_hand).all() and (grams[-2:] == 0).all()
+    df = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows], "doc_id long, text string, lang string")
+    sums: dict = {}
+    for r, x in zip(rows, by_hand):
+        if r["lang"] is not None and r["text"] is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + x
+    names = sorted(sums)
+    unit = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    known = langid.learn(df)
+    assert list(known) == names and all((known[k] == sums[k]).all() for k in names)
+    for r, x in zip(sorted(langid.identify(df, known).collect(), key=lambda r: r["doc_id"]), [x for _, x in sorted(zip([r["doc_id"] for r in rows], by_hand), key=lambda p: p[0])]):
+        cos = unit @ x / max(np.linalg.norm(x), 1e-300)
+        if r["lang_pred"] != "und":
+            assert r["lang_pred"] == names[int(np.argmax(cos))] and abs(r["score"] - max(cos.max(), 0)) < 1e-9
+    tie = {"aa": known[names[0]], "ab": known[names[0]]}
+    assert {r["lang_pred"] for r in langid.identify(df, tie).collect()} <= {"aa", "und"}
 
 
 def test_language_held_out(spark):
@@ -61,6 +100,47 @@ def test_quality_odd(spark):
     assert quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_pool_by_hand(monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    rng = np.random.default_rng(5)
+    sizes = [0, 3, 40, 1, 0, 7, 14, 2, 0]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    bucket, vectors = rng.integers(0, quality.BUCKETS, starts[-1]), rng.standard_normal((quality.BUCKETS, quality.DIM)).astype(np.float32)
+    for row, a, z in zip(quality.pool(bucket, starts, vectors), starts, starts[1:]):
+        v = vectors[bucket[a:z]].astype(float)
+        expected = np.concatenate((v.mean(axis=0), v.std(axis=0), (v[:-1] * v[1:]).sum(axis=0) / max(len(v) - 1, 1))) if len(v) else np.zeros(quality.POOLED)
+        assert np.allclose(row, expected, atol=1e-3)
+    whole, parts = (np.zeros(quality.BUCKETS * quality.DIM, np.int64) for _ in range(2))
+    quality.add_contexts(bucket, starts, whole)
+    monkeypatch.setattr(quality, "CONTEXTS", 5)
+    quality.add_contexts(bucket, starts, parts)
+    assert (whole == parts).all()
+
+
+def test_quality_scores_by_hand(spark):
+    """The query's scores on a table, from its own vectors and network, text by text."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    vectors = quality.word_vectors(docs)
+    net = quality.fit(docs, labels, vectors)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, vectors, net, ("doc_id",)).collect()}
+    for r in docs.collect():
+        b, _ = quality.buckets_of([(r["text"] or "").encode()])
+        v = vectors[b]
+        x = np.concatenate((v.mean(axis=0), v.std(axis=0), (v[:-1] * v[1:]).sum(axis=0) / max(len(v) - 1, 1))) if len(b) else np.zeros(quality.POOLED)
+        z = np.tanh((x - net.shift) * net.scale @ net.w1 + net.b1) @ net.w2 + net.b2
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z / net.temperature))) < 1e-3
+
+
+def test_quality_of_repeats_and_long_texts(spark):
+    df = docs_of(spark, ["good words here"] * 3 + ["w " * 400_000]).selectExpr("*", "0 AS y")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    repeated = df.union(df).union(df)
+    out = quality.classify(repeated, labels).collect()
+    assert len(out) == 12 and len({r["score"] for r in out if r["doc_id"] < 3}) == 1
+    vectors = quality.word_vectors(repeated)
+    assert quality.fit(repeated, labels, vectors, max_labelled=2) is not None
+
+
 def test_word_vectors_by_hand():
     sums = np.zeros(quality.BUCKETS * quality.DIM, np.int64)
     bucket, starts = np.array([1, 2, 3, 1, 5]), np.array([0, 4, 5])
@@ -111,6 +191,26 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, item_df.limit(0)).count() == 0 == decontaminate.find_leaks(df.limit(0), item_df).count()
 
 
+def test_leaks_in_shards_and_long_texts(spark, monkeypatch):
+    """Shards and parts of the index change nothing: statistics are those of all items."""
+    rng = np.random.default_rng(18)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    items = [(i, " ".join(rng.choice(vocab, rng.integers(12, 60))) + ". " + " ".join(rng.choice(vocab, 8)) + ".") for i in range(80)]
+    items += [items[3], (200, " ".join(rng.choice(vocab, 900)) + ". " + " ".join(rng.choice(vocab, 9)) + ".")]
+    texts = [" ".join(rng.choice(vocab, 30_000)) + " " + items[k][1] + " " + " ".join(rng.choice(vocab, 50)) for k in (3, 40, 81)] + ["x " + items[9][1]] * 2
+    item_df, df = spark.createDataFrame(items, "item_id long, text string"), docs_of(spark, texts)
+
+    def found():
+        return sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontaminate.find_leaks(df, item_df).collect())
+
+    whole = found()
+    assert {(d, i) for d, i, _ in whole} == {(d, i) for d, t in enumerate(texts) for i in leaks_by_hand(items, t)} and len(whole) >= 6
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 9000)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1500)
+    parts = found()
+    assert [x[:2] for x in parts] == [x[:2] for x in whole]
+
+
 def test_wand_finds_all():
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(3, 30)) % 300), None) for i in range(200)]
@@ -155,12 +255,51 @@ def test_lm(spark, near):
 
 
 def test_lm_is_normalised():
-    counts = lmscore.Counts(10, 3, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(16, np.int64), np.zeros(16, np.int64))
+    counts = lmscore.Counts(10, 3, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.zeros(0, np.int64), np.zeros(8, np.int64), np.zeros(8, np.int64))
     assert counts.look_up(np.array([5], np.uint64))[2].tolist() == [False]
     model = lmscore.train(np.array([1, 18, 35]), np.array([5, 7, 9]), 17, steps=30)
     assert np.allclose((10.0 ** model.log_probabilities()).sum(axis=1), 1, atol=1e-4)
 
 
+def test_lm_sums_to_one_over_tokens(spark):
+    """The score by hand on a tiny vocabulary: over all known tokens and one unseen, probabilities after any token sum to one."""
+    rng = np.random.default_rng(6)
+    vocab = [f"t{i}" for i in range(12)]
+    df = pick(docs_of(spark, [" ".join(rng.choice(vocab, 30, p=np.arange(1, 13) / 78)) for _ in range(40)]), "doc_id", "text")
+    pairs = spark.createDataFrame([(100 * i + j, f"{a} {b}".strip()) for i, a in enumerate([*vocab, "unseen"]) for j, b in enumerate([*vocab, "unseen"])], "doc_id long, text string")
+    for symbols, near in ((3, 6), (20, 100)):
+        table = lmscore.count_tokens(df)
+        counts = lmscore.bounded_counts(table, symbols, near)
+        found = lmscore.count_pairs(df, counts).toArrow()
+        model = lmscore.train(found["pair"].to_numpy(), found["n"].to_numpy(), counts.symbols + lmscore.CLASSES, 60)
+        p = model.log_probabilities()
+        true = {r["h"]: r["c"] for r in table.collect()}
+
+        def parts(text):
+            h = lmscore.tokens([text.encode()])[0]
+            symbol, c, known = counts.look_up(h)
+            c = np.array([true.get(int(x), 0) for x in h.view(np.int64)])
+            k = np.maximum(symbol - counts.symbols, 0)
+            own = np.where(symbol >= counts.symbols, np.log10((c + 0.5) / (counts.class_total[k] + 0.5 * (counts.class_distinct[k] + 1))), 0.0)
+            return symbol, own
+
+        end = parts("")[0][0]
+        for r in lmscore.score_texts(pairs, df, symbols=symbols, near=near, steps=60).join(pairs, "doc_id").collect():
+            symbol, own = parts(r["text"])
+            by_hand = sum(p[a, b] + o for a, b, o in zip([end, *symbol], symbol, own))
+            assert abs(by_hand - r["score"]) < 1e-4, (r, by_hand)
+        after = p[parts("t5")[0][0]]
+        seen = sum(10.0 ** (after[s] + o) for w in vocab for s, o in [tuple(x[0] for x in parts(w))])
+        seen += 10.0 ** (after[end] + parts("")[1][0])
+        assert seen <= 1 + 1e-4
+
+
+def test_lm_held_out(spark):
+    """Texts not learned from are likelier to the model than to single tokens' frequencies."""
+    out = queries.op9_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert out["s"] > out["b"]
+
+
 def test_lm_learns():
     size = 40
     pair = np.array([u * size + (u + 1) % size for u in range(size)] + [u * size + 3 for u in range(size)])
@@ -220,7 +359,7 @@ def test_lm_symbols(spark):
     words = [f"w{i}" for i in range(3000)]
     df = docs_of(spark, [" ".join(words[:2031])] * 2 + [" ".join(words)])
     counts = lmscore.bounded_counts(lmscore.count_tokens(df))
-    assert len(counts.symbols) == 2032 and (counts.look_up(lmscore.tokens([" ".join(words[:2031]).encode()])[0])[0] < 2032).all()
+    assert counts.symbols == 2032 and (counts.look_up(lmscore.tokens([" ".join(words[:2031]).encode()])[0])[0] < 2032).all()
 
 
 def test_pipeline_rejects_no_language(spark):
