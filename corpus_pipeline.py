@@ -14,7 +14,7 @@ from pagequery.llm import bpe, decontaminate, langid, linededup, simhash
 from pagequery.llm.common import numbered, table, written
 
 #: Documents are rejected whose best cosine with a language is not above LANGUAGE_PART of the LANGUAGE_SHARE quantile of that language's own texts of like length, as are those without a letter.
-LANGUAGE_SHARE, LANGUAGE_PART = 0.05, 1 / 3
+LANGUAGE_SHARE, LANGUAGE_PART = 0.05, 1 / 4
 MIN_LINE_DOCS = 10
 #: Near-duplicates share at least 0.8 of their five-word shingles. Candidates are those whose fingerprints differ in at most 60 of 256 bits (39 on average at 0.8).
 SHINGLE, WORDS, RADIUS, ALIKE = 5, 4, 60, 0.8
