@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, load_config
-from .plans.compiler import Source, compile_config, scalar_record
+from .plans.compiler import Source, combined, compile_config, compile_query, scalar_record
 
 VERSION = "1.0.0"
 
@@ -52,26 +52,18 @@ class Engine:
         self.source, self.is_html = Source(html, url, keys), is_html
 
     def tables(self, pages: DataFrame) -> dict[str, DataFrame]:
-        """Query name -> typed records."""
+        """Query name -> typed records; each table's plan indexes the pages for its own query. For all in one pass see records()."""
         return compile_config(self.config, pages, self.source, self.is_html)
 
     def table(self, pages: DataFrame, name: str | None = None) -> DataFrame:
-        found = self.tables(pages)
-        return found[name] if name else next(iter(found.values()))
+        query = next((q for q in self.config.queries if name in (None, q.name)), None)
+        if query is None:
+            raise KeyError(name)
+        return compile_query(query, self.config, pages, self.source, self.is_html)
 
     def records(self, pages: DataFrame) -> DataFrame:
-        """All queries in order of name: keys, _query (its number), _name, _pos, and the union of all fields as JSON where types differ."""
-        out = None
-        tables = self.tables(pages)
-        types: dict[str, set[str]] = {}
-        for t in tables.values():
-            for c, kind in t.dtypes:
-                types.setdefault(c, set()).add(kind)
-        for n, (name, t) in enumerate(tables.items()):
-            cols = [F.to_json(F.struct(F.col(c).alias("v"))).alias(c) if len(types[c]) > 1 else F.col(c) for c in t.columns if c not in (*self.source.keys, "_pos")]
-            t = t.select(*self.source.keys, F.lit(n).alias("_query"), F.lit(name).alias("_name"), "_pos", *cols)
-            out = t if out is None else out.unionByName(t, allowMissingColumns=True)
-        return out
+        """All queries in one pass over the pages: keys, _query (its number in order of names), _name, _pos, and the union of all fields, as JSON where types differ."""
+        return combined(self.config, pages, self.source, self.is_html)
 
     def scalar(self, rows: DataFrame, name: str | None = None) -> DataFrame:
         query = next(q for q in self.config.queries if name in (None, q.name))

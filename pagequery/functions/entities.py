@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -21,7 +22,14 @@ CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in
 
 
 def _table(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]) if pairs else F.create_map().cast("map<string,string>")
+
+
+def _by_letter(pairs: dict) -> Callable[[Column], Column]:
+    """Looks a name up (null: unknown) in a map for each first letter, as Spark searches a map from its start."""
+    first, last = ord("A"), ord("z")
+    tables = F.array(*[_table({k: v for k, v in pairs.items() if ord(k[0]) == c}) for c in range(first, last + 1)])
+    return lambda name: F.try_element_at(F.get(tables, F.ascii(name) - first), name)
 
 
 def char(cp: Column) -> Column:
@@ -52,24 +60,24 @@ def _decode(c: Column, value) -> Column:
 
 
 def decode_leaf(c: Column) -> Column:
-    table, fixes = _table(LEAF), _table(CP1252)
+    known, fixes = _by_letter(LEAF), _table(CP1252)
 
     def value(ref: Column) -> Column:
         cp = _code_point(ref)
         bad = (cp == 0) | (cp > 0x10FFFF) | cp.between(0xD800, 0xDFFF)
         number = F.when(bad, F.lit("�")).when(cp.between(0x80, 0x9F), F.coalesce(F.try_element_at(fixes, cp.cast("int")), char(cp))).otherwise(char(cp))
-        return F.when(ref.startswith("#"), number).otherwise(F.when(F.char_length(ref) <= 33, F.try_element_at(table, ref)))
+        return F.when(ref.startswith("#"), number).otherwise(F.when(F.char_length(ref) <= 33, known(ref)))
 
     return _decode(c, value)
 
 
 def decode_clean(c: Column) -> Column:
     """References of at most nine characters; surrogates vanish, as their bytes are no character."""
-    table = _table(CLEAN)
+    known = _by_letter(CLEAN)
 
     def value(ref: Column) -> Column:
         cp = _code_point(ref)
         number = F.when((cp > 0) & (cp <= 0x10FFFF), F.when(cp.between(0xD800, 0xDFFF), F.lit("")).otherwise(char(cp)))
-        return F.when(F.char_length(ref) <= 9, F.when(ref.startswith("#"), number).otherwise(F.try_element_at(table, ref)))
+        return F.when(F.char_length(ref) <= 9, F.when(ref.startswith("#"), number).otherwise(known(ref)))
 
     return _decode(c, value)

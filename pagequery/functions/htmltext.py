@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from .entities import decode_leaf
 from .let import let
 
-_BODY = r"""(?:[^'">]|"[^"]*+"|'[^']*+')*+>"""
+_BODY = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
 _NAME = r"[A-Za-z][A-Za-z0-9_:-]*+"
 _BLANK = r"[ \t\n\r\f\x0B]"
 #: Marks where markup stood, so that a reference never closes over it; and an ampersand inside CDATA, which is no reference.
 _CUT, _AMP = "", ""
 _MARKUP = (
-    r"<!--[\s\S]*?(?:-->|\z)"
+    rf"<(?:/|(?!(?i:script|style)(?![A-Za-z0-9_:-]))){_NAME}{_BODY}"  # first what is most frequent
+    r"|<!--[\s\S]*?(?:-->|\z)"
     r"|<!\[CDATA\[([\s\S]*?)(?:\]\]>|\z)"
     r"|<[!?][^>]*+(?:>|\z)"
     rf"|<(?i:(script|style))(?![A-Za-z0-9_:-]){_BODY}(?<!/{_BLANK}{{0,64}}>)(?:[\s\S]*?(?i:</\2)(?:{_BODY}|[\s\S]*+)|[\s\S]*+)"

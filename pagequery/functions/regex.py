@@ -12,83 +12,51 @@ from ..errors import ConfigError
 _SHAPE = re.compile(r"^(?:[^\\^$.|?*+()\[\]{}]|\\[^a-zA-Z0-9])+\(\.\*\??\)(?:[^\\^$.|?*+()\[\]{}]|\\[^a-zA-Z0-9])*$")
 
 
+#: A pattern's parts: escapes, whole classes, opening parentheses with what marks them, anything else.
+_PART = re.compile(r"(?P<escape>\\[\s\S]?)|(?P<class>\[(?P<not>\^?)(?P<body>(?:\\[\s\S]|[^\]\\])*)(?P<end>\]?))|(?P<open>\((?P<mark>\?[\s\S]?)?)|[\s\S]")
+_IN_CLASS = re.compile(r"\\[\s\S]|&&|\[")
+#: Escapes that mean the same to Java.
+_SAME = set("dDwWsSbBnrtfxuc")
+
+
 def groups(pattern: str) -> int:
-    """Capturing groups: parentheses outside classes and escapes that don't begin ``(?``."""
-    n, i, inside = 0, 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            i += 2
-            continue
-        if inside:
-            inside = c != "]"
-        elif c == "[":
-            inside = True
-        elif c == "(" and pattern[i + 1 : i + 2] != "?":
-            n += 1
-        i += 1
-    return n
+    """Capturing groups: opening parentheses outside classes and escapes without a mark."""
+    return sum(m["open"] == "(" for m in _PART.finditer(pattern))
+
+
+def _escape(two: str, after: str, inside: bool) -> str:
+    c = two[1]
+    if c == "0" and not after.isdigit():
+        return r"\x00"
+    if c == "v" or (c == "b" and inside):
+        return r"\x0B" if c == "v" else r"\x08"
+    if c.isalpha() and c not in _SAME or c in "/\"'":
+        return c
+    return two
+
+
+def _class(negated: bool, body: str) -> str:
+    if not body:
+        return r"[\s\S]" if negated else "(?!)"
+
+    def part(m: re.Match) -> str:
+        return _escape(m[0], body[m.end() : m.end() + 1], True) if m[0][0] == "\\" else "\\[" if m[0] == "[" else r"&\&"
+
+    return f"[{'^' * negated}{_IN_CLASS.sub(part, body)}]"
 
 
 def to_java(pattern: str) -> str:
     """The dot leaves out \\n (also \\r where the pattern is a literal around ``(.*)`` or ``(.*?)``); ^ and $ are the ends of the text."""
-    dot = r"[^\n\r]" if _SHAPE.match(pattern) else r"[^\n]"
-    out, i, inside = [], 0, False
-    while i < len(pattern):
-        c, two = pattern[i], pattern[i : i + 2]
-        if c == "\\":
-            if len(two) < 2:
-                raise ConfigError(f"invalid pattern: {pattern}")
-            e = two[1]
-            if e == "0" and not pattern[i + 2 : i + 3].isdigit():
-                out.append(r"\x00")
-            elif e == "/" or (e.isalpha() and e not in "dDwWsSbBnrtfvxuc") or e in "-\"'":
-                out.append("\\-" if e == "-" else re.escape(e) if not e.isalpha() and e not in "/\"'" else e)
-            elif e == "v":
-                out.append(r"\x0B")
-            elif e == "b" and inside:
-                out.append(r"\x08")
-            else:
-                out.append(two)
-            i += 2
-            continue
-        if inside:
-            if c == "]":
-                inside = False
-                out.append(c)
-            elif c == "[":
-                out.append(r"\[")
-            elif two == "&&":
-                out.append(r"&\&")
-                i += 1
-            else:
-                out.append(c)
-        elif c == "[":
-            if pattern[i + 1 : i + 3] == "^]":
-                out.append(r"[\s\S]")
-                i += 3
-                continue
-            if pattern[i + 1 : i + 2] == "]":
-                out.append("(?!)")
-                i += 2
-                continue
-            inside = True
-            out.append("[^" if pattern[i + 1 : i + 2] == "^" else "[")
-            i += pattern[i + 1 : i + 2] == "^"
-        elif c == ".":
-            out.append(dot)
-        elif c == "^":
-            out.append(r"\A")
-        elif c == "$":
-            out.append(r"\z")
-        elif c == "(" and pattern[i + 1 : i + 2] == "?" and pattern[i + 2 : i + 3] not in (":", "=", "!"):
+    plain = {".": r"[^\n\r]" if _SHAPE.match(pattern) else r"[^\n]", "^": r"\A", "$": r"\z"}
+
+    def part(m: re.Match) -> str:
+        if m[0] == "\\" or (m["class"] and not m["end"]) or (m["mark"] and m["mark"] not in ("?:", "?=", "?!")):
             raise ConfigError(f"invalid pattern: {pattern}")
-        else:
-            out.append(c)
-        i += 1
-    if inside:
-        raise ConfigError(f"invalid pattern: {pattern}")
-    return "".join(out)
+        if m["escape"]:
+            return _escape(m[0], pattern[m.end() : m.end() + 1], False)
+        return _class(bool(m["not"]), m["body"]) if m["class"] else plain.get(m[0], m[0])
+
+    return _PART.sub(part, pattern)
 
 
 def compiled(pattern: str) -> str:

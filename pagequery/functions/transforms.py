@@ -88,30 +88,28 @@ def value_type(rule: Rule) -> str:
     return {"int": "bigint", "float": "double"}.get(last, "string")
 
 
+def step(value: Column, rule: Rule, k: int, base: Column) -> Column:
+    """The rule's k-th transform of a value that isn't null."""
+    what, last = rule.transform[k], k == len(rule.transform) - 1
+    if what in ("trim", "lowercase", "uppercase"):
+        return {"trim": trim, "lowercase": lowercase, "uppercase": uppercase}[what](value)
+    if what == "urljoin":
+        return url_join(base, value)
+    if what == "int":
+        return to_int(value) if last else F.coalesce(to_int(value).cast("string"), F.lit(""))
+    if what == "float":
+        text = six_decimals(to_float(value))
+        return text.cast("double") if last else F.coalesce(text, F.lit(""))
+    return substitute(value, rule.regex or "", rule.regex_sub) if what == "regex_sub" and rule.regex_sub is not None else value
+
+
 def apply(c: Column, rule: Rule, base: Column) -> Column:
     """One cleaned value through the rule's transforms; null stays null."""
-    return let(c, lambda v: _apply(v, rule, base)).cast(value_type(rule)) if rule.transform else c
-
-
-def _apply(c: Column, rule: Rule, base: Column) -> Column:
-    value, steps = c, list(rule.transform)
-    kind = value_type(rule)
-    for k, step in enumerate(steps):
-        last = k == len(steps) - 1
-        if step == "trim":
-            value = trim(value)
-        elif step == "lowercase":
-            value = lowercase(value)
-        elif step == "uppercase":
-            value = uppercase(value)
-        elif step == "urljoin":
-            value = url_join(base, value)
-        elif step == "int":
-            number = to_int(value)
-            value = number if last else F.coalesce(number.cast("string"), F.lit(""))
-        elif step == "float":
-            number = to_float(value)
-            value = six_decimals(number).cast("double") if last else F.coalesce(six_decimals(number), F.lit(""))
-        elif step == "regex_sub" and rule.regex_sub is not None:
-            value = substitute(value, rule.regex or "", rule.regex_sub)
-    return F.when(c.isNotNull(), value).cast(kind)
+
+    def all_steps(v: Column) -> Column:
+        value = v
+        for k in range(len(rule.transform)):
+            value = step(value, rule, k, base)
+        return F.when(v.isNotNull(), value).cast(value_type(rule))
+
+    return let(c, all_steps).cast(value_type(rule)) if rule.transform else c

@@ -26,9 +26,11 @@ CLOSES = {
     "tr": frozenset(("tr", "td", "th")), "option": frozenset(("option",)), "optgroup": frozenset(("option", "optgroup")), "thead": _SECTIONS, "tbody": _SECTIONS, "tfoot": _SECTIONS,
 } | dict.fromkeys(HEADINGS, HEADINGS)
 
-#: A whole open tag (name, rest), else the start of another construct: close tag (name), comment, CDATA, declaration, unfinished open tag.
-_TOKEN = re.compile(r"""<(?:([A-Za-z][A-Za-z0-9_:\-]*+)((?:[^'">]|"[^"]*"|'[^']*')*+)>|/([A-Za-z][A-Za-z0-9_:\-]*+)|(!--)|(!\[CDATA\[)|([!?])|([A-Za-z]))""")
-_TAG_END = re.compile(r"""(?:[^'">]|"[^"]*"|'[^']*')*+>""")
+_NAME = r"[A-Za-z][A-Za-z0-9_:\-]*+"
+_REST = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
+#: A plain close tag (name); a whole open tag (name, rest), with the place of its close tag if text alone lies between; else the start of another construct: close tag (name), comment, CDATA, declaration, unfinished open tag.
+_TOKEN = re.compile(rf"<(?:/({_NAME})>|({_NAME})({_REST[:-1]})>(?:[^<]*+()</\2>)?|/({_NAME})|(!--)|(!\[CDATA\[)|([!?])|([A-Za-z]))")
+_TAG_END = re.compile(_REST)
 _ANY_TAG = re.compile(r"<[A-Za-z]")
 _RAW_CLOSE = {name: re.compile(f"</{name}", re.I | re.A) for name in ("script", "style")}
 _BLANKS = " \t\n\r\f\v"
@@ -74,18 +76,34 @@ def elements(html: str, tags: frozenset[str] | None = None) -> list[Element]:
             out.append(Element(tag, start, gt, close, end, seq))
         seq += 1
 
+    def close(tag: str, start: int, end: int) -> None:
+        """Ends the innermost open element of that name and all inside it; nothing if there is none."""
+        depth = len(stack) - 1
+        while depth >= 0 and stack[depth][0] != tag:
+            depth -= 1
+        if depth >= 0:
+            while len(stack) > depth + 1:
+                emit(*stack.pop(), start, start)
+            emit(*stack.pop(), start, end)
+
     running = True
     while running:
         running = False
         for m in _TOKEN.finditer(html, at):
             kind = m.lastindex
-            if kind == 2:
-                name, rest = m.group(1, 2)
-                tag = names.get(name) or _lowered(name)
+            if kind == 1:
                 start, after = m.span()
-                alone = bool(rest) and rest[-1] in "/ \t\n\r\f\v" and rest.rstrip(_BLANKS).endswith("/")
+                close(names.get(m[1]) or _lowered(m[1]), start, after)
+            elif kind == 3 or kind == 4:
+                name, rest = m.group(2, 3)
+                tag = names.get(name) or _lowered(name)
+                start, after = m.start(), m.end(3) + 1
+                alone = rest and rest[-1] in "/ \t\n\r\f\v" and rest.rstrip(_BLANKS).endswith("/")
                 if alone or tag in void:
                     emit(tag, start, after - 1, after, after)
+                    if kind == 4:  # what follows is none of its business
+                        at, running = after, True
+                        break
                 elif tag in raw:
                     found = raw[tag].search(html, after)
                     if not found:
@@ -101,31 +119,25 @@ def elements(html: str, tags: frozenset[str] | None = None) -> list[Element]:
                         closes = CLOSES.get(tag, ())
                         while stack and (stack[-1][0] in closes or (stack[-1][0] == "p" and tag in ENDS_PARAGRAPH)):
                             emit(*stack.pop(), start, start)
-                    stack.append((tag, start, after - 1))
-            elif kind == 3:
-                tag = names.get(m[3]) or _lowered(m[3])
+                    if kind == 4:
+                        emit(tag, start, after - 1, m.start(4), m.end())
+                    else:
+                        stack.append((tag, start, after - 1))
+            elif kind == 5:
+                tag = names.get(m[5]) or _lowered(m[5])
                 start, after = m.span()
-                if html.startswith(">", after):
-                    end = after + 1
-                elif any(s[0] == tag for s in stack):
+                if any(s[0] == tag for s in stack):
                     tail = _TAG_END.match(html, after)
-                    end = tail.end() if tail else n
+                    at = tail.end() if tail else n
                 else:
-                    end = _skip(html, ">", after)
-                depth = len(stack) - 1
-                while depth >= 0 and stack[depth][0] != tag:
-                    depth -= 1
-                if depth >= 0:
-                    while len(stack) > depth + 1:
-                        emit(*stack.pop(), start, start)
-                    emit(*stack.pop(), start, end)
-                if end != after + 1:
-                    at, running = end, True
-                    break
-            elif kind == 7:  # an open tag without an end stops the scan
+                    at = _skip(html, ">", after)
+                close(tag, start, at)
+                running = True
+                break
+            elif kind == 9:  # an open tag without an end stops the scan
                 break
             else:
-                at = _skip(html, {4: "-->", 5: "]]>", 6: ">"}[kind], m.end())
+                at = _skip(html, {6: "-->", 7: "]]>", 8: ">"}[kind], m.end())
                 running = True
                 break
     while stack:
@@ -140,9 +152,11 @@ def attribute(html: str, name: str) -> str | None:
         end = _TAG_END.match(html, m.start() + 1)
         if not end:
             return None
-        for n, v in attributes(html[m.start() : end.end()]):
-            if n == name:
-                return v
+        tag = html[m.start() : end.end()]
+        if name in tag or name in lower(tag):
+            for n, v in attributes(tag):
+                if n == name:
+                    return v
         at = end.end()
     return None
 
@@ -156,16 +170,26 @@ class Wanted:
     html: bool
     attributes: tuple[str, ...]
 
-    def arrow(self) -> pa.DataType:
-        return pa.list_(pa.struct([("html", pa.string())] * self.html + [(f"a{i}", pa.string()) for i in range(len(self.attributes))] + [("seq", pa.int32())]))
+    def columns(self) -> list[str]:
+        return ["html"] * self.html + [f"a{i}" for i in range(len(self.attributes))] + ["seq"]
+
+    def arrow(self, found: list[list[tuple]]) -> pa.ListArray:
+        """The rows found on each page, column by column."""
+        flat = [row for rows in found for row in rows]
+        cols = list(zip(*flat, strict=True)) if flat else [()] * len(self.columns())
+        arrays = [pa.array(c, pa.int32() if n == "seq" else pa.string()) for n, c in zip(self.columns(), cols, strict=True)]
+        ends = [0]
+        for rows in found:
+            ends.append(ends[-1] + len(rows))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, self.columns()))
 
     def ddl(self) -> str:
         return f"array<struct<{', '.join(['html: string'] * self.html + [f'a{i}: string' for i in range(len(self.attributes))] + ['seq: int'])}>>"
 
 
-def select(html: str | None, wanted: list[Wanted]) -> list[list[dict]]:
-    """For each query its elements, in close order. A null page has none."""
-    out: list[list[dict]] = [[] for _ in wanted]
+def select(html: str | None, wanted: list[Wanted]) -> list[list[tuple]]:
+    """For each query its elements as rows of its columns, in close order. A null page has none."""
+    out: list[list[tuple]] = [[] for _ in wanted]
     live = [k for k, w in enumerate(wanted) if not w.selector.empty]
     if not html or not live:
         return out
@@ -189,21 +213,18 @@ def select(html: str | None, wanted: list[Wanted]) -> list[list[dict]]:
                 if not matches(w.selector, e.tag, attrs):
                     continue
             span = html[e.open : e.end] if w.html or w.attributes else ""
-            row = {f"a{i}": attribute(span, name) for i, name in enumerate(w.attributes)} | {"seq": e.seq}
-            if w.html:
-                row["html"] = span
-            out[k].append(row)
+            out[k].append((*([span] if w.html else ()), *[attribute(span, name) for name in w.attributes], e.seq))
     return out
 
 
-def index_pages(pages: DataFrame, html: str, wanted: list[Wanted]) -> DataFrame:
-    """pages without the html, with a column ``_q0``, ``_q1``, ... of element lists for each query: pages never shuffle."""
-    keep = [c for c in pages.columns if c != html]
+def index_pages(pages: DataFrame, html: str, wanted: list[Wanted], keep_html: bool = False) -> DataFrame:
+    """pages without the html (but with keep_html), with a column ``_q0``, ``_q1``, ... of element lists for each query: pages never shuffle."""
+    keep = [c for c in pages.columns if keep_html or c != html]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [select(x, wanted) for x in b.column(b.schema.get_field_index(html)).to_pylist()]
-            cols = [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array([f[k] for f in found], w.arrow()) for k, w in enumerate(wanted)]
+            cols = [b.column(b.schema.get_field_index(c)) for c in keep] + [w.arrow([f[k] for f in found]) for k, w in enumerate(wanted)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[f"_q{k}" for k in range(len(wanted))]])
 
     ddl = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + [f"_q{k} {w.ddl()}" for k, w in enumerate(wanted)]
