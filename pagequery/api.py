@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
 from .config import Config, load_config
-from .plans.compiler import Source, combined, compile_config, compile_query, scalar_record
+from .plans.compiler import Source, combined, compile_config, compile_query, scalar_record, schema_of
 
 VERSION = "1.0.0"
 
@@ -65,11 +68,19 @@ class Engine:
         """All queries in one pass over the pages: keys, _query (its number in order of names), _name, _pos, and the union of all fields, as JSON where types differ."""
         return combined(self.config, pages, self.source, self.is_html)
 
+    def kinds(self) -> dict[str, set[str]]:
+        """Field -> its types over all queries; more than one type makes records() give JSON."""
+        out: dict[str, set[str]] = {}
+        for q in self.config.queries:
+            for name, kind in schema_of(q).items():
+                out.setdefault(name, set()).add(kind)
+        return out
+
     def scalar(self, rows: DataFrame, name: str | None = None) -> DataFrame:
         query = next(q for q in self.config.queries if name in (None, q.name))
         return scalar_record(rows, query, self.source, self.is_html)
 
-    def stats(self, pages: DataFrame, records: int = 0, seconds: float = 0.0, error: str | None = None) -> DataFrame:
+    def stats(self, pages: DataFrame, error: str | None = None) -> DataFrame:
         """One row of run totals; pages whose error column is set have failed."""
         bad = F.col(error).isNotNull() if error else F.lit(False)
         size = F.sum(F.octet_length(F.col(self.source.html)))
@@ -91,3 +102,59 @@ def run_offline(spark: SparkSession, config: Any, html: str, base_url: str = "",
 
 def extract(spark: SparkSession, config: Any, html: str, base_url: str = "", is_html: bool = True) -> list[dict]:
     return run_offline(spark, config, html, base_url, is_html)[0]
+
+
+@dataclass
+class ScrapeResult:
+    """Records and numbers of a run."""
+
+    records: list[dict]
+    stats: Stats
+
+    def __len__(self) -> int:
+        return len(self.records)
+
+    def __iter__(self):
+        return iter(self.records)
+
+    def to_dataframe(self, spark: SparkSession, flat: bool = False, coerce: bool = False) -> DataFrame:
+        """The records as a DataFrame; flat: scalar columns; coerce: numbers where columns hold them."""
+        df = sinks.records_frame(spark, self.records)
+        df = sinks.flatten(df) if flat or coerce else df
+        return sinks.coerce_numbers(df) if coerce else df
+
+    def export(self, spark: SparkSession, path: str, fmt: str | None = None, columns: list[str] | None = None) -> dict:
+        return sinks.export_records(spark, self.records, path, fmt, columns)
+
+
+def scrape(spark: SparkSession, config: Any) -> ScrapeResult:
+    """Fetches the config's urls and extracts: its records with _url and _status, collected. For many pages use fetch_pages and Engine."""
+    from .sources.frontier import frontier
+    from .sources.http import fetch_pages
+
+    began = time.perf_counter()
+    config = load_config(config).validate()
+    pages = fetch_pages(frontier(spark, config), config).persist()
+    renamed = pages.select(F.col("pos").alias("__pos"), F.col("url").alias("__url"), F.col("status").alias("__status"), "url", "html", "error")
+    engine = Engine(config, keys=("__pos", "__url", "__status"))
+    names, mixed = {n: list(schema_of(q)) for n, q in enumerate(config.queries)}, {c for c, k in engine.kinds().items() if len(k) > 1}
+    records = []
+    for r in engine.records(renamed.filter("error IS NULL")).orderBy("__pos", "_query", "_pos").toLocalIterator():
+        own = r.asDict(True)
+        fields = {c: json.loads(own[c])["v"] if c in mixed and own[c] is not None else own[c] for c in names[r["_query"]]}
+        records.append({"_url": own["__url"], "_status": own["__status"]} | fields)
+    row = engine.stats(pages, error="error").first()
+    pages.unpersist()
+    return ScrapeResult(records, Stats(row["pages"], row["succeeded"], row["failed"], len(records), row["bytes"], time.perf_counter() - began))
+
+
+def scrape_file(spark: SparkSession, path: str) -> ScrapeResult:
+    """scrape() of a config file."""
+    return scrape(spark, Path(path))
+
+
+def backend_info() -> dict[str, Any]:
+    """What runs the queries."""
+    import pyspark
+
+    return {"engine": "pagequery", "version": VERSION, "backend": "spark", "spark": pyspark.__version__, "capabilities": capabilities()}

@@ -28,7 +28,8 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .sinks import annotate, write_file
+    from .plans.compiler import schema_of
+    from .sinks import annotate, detect_format, plain, write_file
     from .sources.frontier import frontier
     from .sources.http import fetch_pages
 
@@ -43,17 +44,32 @@ def main(args: list[str] | None = None) -> int:
             print(Stats(1000, 1000, 0, n, 1000 * 500 * len(card), time.perf_counter() - began).summary("bench"))
             return 0
         pages = fetch_pages(frontier(spark, config), config).persist()
-        engine = Engine(config, keys=("pos", "url", "status"))
+        # under names that no field has
+        renamed = pages.select(F.col("pos").alias("__pos"), F.col("url").alias("__url"), F.col("status").alias("__status"), "url", "html", "error", "bytes")
+        engine = Engine(config, keys=("__pos", "__url", "__status"))
+        records = engine.records(renamed.filter("error IS NULL")).orderBy("__pos", "_query", "_pos")
+        names = {n: list(schema_of(q)) for n, q in enumerate(config.queries)}
+        mixed = {c for c, kinds in engine.kinds().items() if len(kinds) > 1}
+        rows = annotate(records, "__url", "__status")
+        extra = [c for c in ("_url", "_status") if not any(c in n for n in names.values())]
+
+        def as_dict(r) -> dict:
+            """The fields of the record's own query, with the page's url and status."""
+            own = r.asDict(True)
+            return {c: json.loads(own[c])["v"] if c in mixed and own[c] is not None else own[c] for c in names[r["_query"]]} | {c: own[c] for c in extra}
+
         path = args[1] if len(args) > 1 else config.output.path
         total = 0
-        for name, records in engine.tables(pages.filter("error IS NULL")).items():
-            records = annotate(records.orderBy("pos", "_pos"), "url", "status").drop("pos", "url", "status", "_pos")
-            if path:
-                total += write_file(records, f"{path}.{name}" if len(config.queries) > 1 else path, None if "." in path else "json")["records"]
-            elif config.output.format not in ("none", "null", "memory"):
-                for r in records.toLocalIterator():
-                    print(json.dumps(r.asDict(True), ensure_ascii=False))
-                    total += 1
+        if path:
+            fields = list(dict.fromkeys(c for n in names.values() for c in n)) + extra
+            name = path.rsplit("/", 1)[-1]
+            fmt = None if "." in name else {"stdout": "json", "none": "json", "null": "json", "memory": "json"}.get(config.output.format, config.output.format)
+            columns = list(config.output.csv_fields) or fields if detect_format(path, fmt) in ("csv", "txt", "parquet") else None
+            total = write_file(rows, path, fmt, columns, as_dict=as_dict)["records"]
+        elif config.output.format not in ("none", "null", "memory"):
+            for r in rows.toLocalIterator():
+                print(json.dumps(plain(as_dict(r)), ensure_ascii=False))
+                total += 1
         row = engine.stats(pages, error="error").first()
         stats = Stats(row["pages"], row["succeeded"], row["failed"], total, row["bytes"], time.perf_counter() - began)
         print(stats.summary(config.name), file=sys.stderr)

@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 from ..operators.index import elements
 
 
-@udtf(returnType="seq int, tag string, open int, inner int, close int, `end` int, html string")
+@udtf(returnType="seq int, tag string, open int, inner int, close int, `end` int, html string", useArrow=True)
 class HtmlElements:
     def eval(self, html: str) -> Iterator[tuple]:
         for e in elements(html or ""):

@@ -232,34 +232,66 @@ def rule(**keys: Any) -> Rule:
     return Rule.of(keys)
 
 
-BASE_URL = "https://h/cat/1?sort=asc#top"
+BASE_URL = "https://lib.test/shelf/7?by=name#end"
 LITERALS: dict[str, tuple] = {
-    "cln_entities": ([("Fish &amp; Chips &#8212; &#x41;", "Fish & Chips — A"), ("&amp;lt; &lang; &#0;", "&lt; &lang; &#0;"), ("&eacute&eacute;", "&eacuteé")], decode_clean),
-    "leaf_entities": ([("&#150; &#0; &sup2; &Alpha;", "– � &sup2; Α"), ("&hearts;&apos;&zwnj;", "♥'‌")], decode_leaf),
-    "cln_invisibles": ([("ab​﻿cd\x07", "abcd"), ("a­b", "ab")], sieve.invisibles),
-    "cln_whitespace": ([("  x     y z  ", "x y z"), ("a　b", "a b")], sieve.whitespace),
-    "cln_fold": ([("“Hello” – it’s…", '"Hello" - it\'s...'), ("«a» ‹b›", "\"a\" 'b'")], sieve.fold),
-    "cln_numeric": ([("$1,299.50", "1299.50"), ("-€2,000", "-2000"), ("room 1,200 sq ft", "room 1,200 sq ft"), ("12,34", "12,34"), ("(1,250)", "(1,250)"), (".5", ".5"), ("1.", "1"), ("--5", "-5"), ("50 %", "50"), ("€ 10", "10"), ("+7", "7")], sieve.numeric),
-    "cln_null_tokens": ([("n/a", True), ("NONE", True), ("-", True), ("—", True), ("nope", False), ("?", False)], sieve.is_null_token, "boolean"),
-    "cln_default": ([("Café&nbsp;&amp;  \x01 y", "Café & y"), ("a\x0cb", "a b"), ("$a\x0cb", "$ab")], sieve.default_sieve),
-    "cln_full_chain": ([("&ldquo;Hot&#160;Mess&rdquo;​&nbsp; &hellip;\t ok", '"Hot Mess" ... ok')], lambda c: sieve.sieve(c, 15)),
-    "trf_int": ([("12abc", 12), ("19.99", 19), ("1,299.50", 1), ("$1,299.50", 1299), ("abc", None)], transforms.to_int, "bigint"),
-    "trf_float": ([("0.1234565", 0.123456), ("0.0000005", 0.0), ("1.5e3", 1500.0), ("1,299.50", 1.0), ("x", None)], lambda c: transforms.apply(c, rule(transform=["float"]), F.lit("")), "double"),
-    "trf_float_then_first": ([("19.99", "19.990000")], lambda c: transforms.apply(c, rule(transform=["float", "first"]), F.lit(""))),
-    "trf_trim_case": ([("  HeLLo \t", "hello"), ("ÉA", "Éa")], lambda c: transforms.apply(c, rule(transform=["trim", "lowercase"]), F.lit(""))),
-    "trf_urljoin": ([("?page=2", "https://h/cat/1?page=2"), ("#sec", "https://h/cat/1#sec"), ("next", "https://h/cat/next"), ("../x", "https://h/cat/../x"), ("a b", "https://h/cat/a%20b"), ("", BASE_URL), ("mailto:a@b.c", "mailto:a@b.c"), ("//o/y", "https://o/y"), ("/r?u=http://z", "/r?u=http://z")], lambda c: transforms.url_join(F.lit(BASE_URL), c)),
-    "trf_regex_sub": ([("a1b2", "a#b#")], lambda c: transforms.apply(c, rule(regex="[0-9]", regex_sub="#", transform=["regex_sub"]), F.lit(""))),
-    "trf_unknown_ignored": ([(" x ", " x ")], lambda c: transforms.apply(c, rule(transform=["nonsense"]), F.lit(""))),
-    "text_markup": ([("<p>a<![CDATA[<b>]]></p>", "a<b>"), ("<b>a</b><i>b</i>", "ab"), ("real <!-- a > b --> text", "real text"), ("<div>a<script>\"</p>\"</script>b", "ab"), ("x <b y='1>z", "x"), ("1 < 2", "1 < 2"), (" a\tb ", "a\tb")], html_text),
-    "re_shapes": ([("x#\" y#abc\" z##\"", "|abc|#"), ("#a", "")], lambda c: F.array_join(find_all(c, '#([^"]*)"'), "|")),
-    "re_alternation": ([("a bb a", "a|bb|a")], lambda c: F.array_join(find_all(c, "a|bb"), "|")),
-    "re_noncapturing": ([("item-abc nope item-zz", "abc|zz")], lambda c: F.array_join(find_all(c, "(?:item)-([a-z]+)"), "|")),
-    "re_dot_line": ([("<p>a\nb</p><p>c</p>", "c")], lambda c: F.array_join(find_all(c, "<p>(.*?)</p>"), "|")),
+    "cln_entities": ([("Salt &amp; pepper &#8211; &#x5A;", "Salt & pepper – Z"), ("&amp;gt; &prod; &#0;", "&gt; &prod; &#0;"), ("&ouml&ouml;", "&oumlö")], decode_clean),
+    "leaf_entities": ([("&#133; &#0; &sup2; &Omega;", "… � &sup2; Ω"), ("&spades;&apos;&zwj;", "♠'" + chr(0x200D))], decode_leaf),
+    "cln_invisibles": ([("to" + chr(0x200B) + "p" + chr(0x200F) + "\x05", "top"), ("m" + chr(0xAD) + "n", "mn")], sieve.invisibles),
+    "cln_whitespace": ([("\tnorth \n\n  by  east ", "north by east"), ("k" + chr(0x2009) + "l", "k l")], sieve.whitespace),
+    "cln_fold": ([("‘tis “noon” — go…", "'tis \"noon\" - go..."), ("«oui» ‹non›", "\"oui\" 'non'")], sieve.fold),
+    "cln_numeric": ([("€3,450.75", "3450.75"), ("-$7,000", "-7000"), ("about 2,300 rows", "about 2,300 rows"), ("98,7", "98,7"), ("(4,100)", "(4,100)"), (".25", ".25"), ("8.", "8"), ("--3", "-3"), ("12 %", "12"), ("£ 6", "6"), ("+41", "41")], sieve.numeric),
+    "cln_null_tokens": ([("N/A", True), ("nil", True), ("--", True), ("—", True), ("zero", False), ("!", False)], sieve.is_null_token, "boolean"),
+    "cln_default": ([("Köln&nbsp;&lt;  \x02 z", "Köln < z"), ("k\x0cl", "k l"), ("€k\x0cl", "€kl")], sieve.default_sieve),
+    "cln_full_chain": ([("&lsquo;Late&#160;train&rsquo;" + chr(0x200B) + "&nbsp; &mdash;\t on", "'Late train' - on")], lambda c: sieve.sieve(c, 15)),
+    "trf_int": ([("7days", 7), ("45.5", 45), ("3,200", 3), ("€3,200.40", 3200), ("soon", None)], transforms.to_int, "bigint"),
+    "trf_float": ([("2.71828182", 2.718282), ("0.0000004", 0.0), ("6e2", 600.0), ("2,300.25", 2.0), ("none", None)], lambda c: transforms.apply(c, rule(transform=["float"]), F.lit("")), "double"),
+    "trf_float_then_first": ([("7.25", "7.250000")], lambda c: transforms.apply(c, rule(transform=["float", "first"]), F.lit(""))),
+    "trf_trim_case": ([("  LoUD \n", "loud"), ("ÜB", "Üb")], lambda c: transforms.apply(c, rule(transform=["trim", "lowercase"]), F.lit(""))),
+    "trf_urljoin": ([("?by=age", "https://lib.test/shelf/7?by=age"), ("#mid", "https://lib.test/shelf/7#mid"), ("8", "https://lib.test/shelf/8"), ("../door", "https://lib.test/shelf/../door"), ("new list", "https://lib.test/shelf/new%20list"), ("", BASE_URL), ("tel:123", "tel:123"), ("//cdn.test/k", "https://cdn.test/k"), ("/go?to=ftp://k", "/go?to=ftp://k")], lambda c: transforms.url_join(F.lit(BASE_URL), c)),
+    "trf_regex_sub": ([("gate10 row2", "gateN rowN")], lambda c: transforms.apply(c, rule(regex="[0-9]+", regex_sub="N", transform=["regex_sub"]), F.lit(""))),
+    "trf_unknown_ignored": ([(" q ", " q ")], lambda c: transforms.apply(c, rule(transform=["reverse"]), F.lit(""))),
+    "text_markup": ([("<li>m<![CDATA[<u>]]></li>", "m<u>"), ("<u>m</u><s>n</s>", "mn"), ("left <!-- 3 > 2 --> right", "left right"), ("<td>m<style>\"</td>\"</style>n</td>", "mn"), ("p <i q='2>r", "p"), ("5 > 4 < 6", "5 > 4 < 6"), (" c\td ", "c\td")], html_text),
+    "re_shapes": ([("v@| w@key| u@@|", ",key,@"), ("@none", "")], lambda c: F.array_join(find_all(c, r"@([^|]*)\|"), ",")),
+    "re_alternation": ([("zoo o", "oo|o")], lambda c: F.array_join(find_all(c, "oo|o"), "|")),
+    "re_noncapturing": ([("bus 12, tram 7, car 3", "12|7")], lambda c: F.array_join(find_all(c, "(?:bus|tram) ([0-9]+)"), "|")),
+    "re_dot_line": ([("<em>k\nl</em><em>m</em>", "m")], lambda c: F.array_join(find_all(c, "<em>(.*?)</em>"), "|")),
+    "re_greedy_dot": ([("[1] and [2]\n[3]", "1] and [2|3")], lambda c: F.array_join(find_all(c, r"\[(.*)\]"), "|")),
 }
 for key, (rows, build, *kind) in LITERALS.items():
     add(key, *literal(rows, build, *kind))
 
 
+# Small pages: (query, pages, expected values as (page, place, value)).
+def on_pages(query: dict, pages: list[str], expected: list[tuple[int, int, str]]) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.createDataFrame([(i, BASE_URL, html) for i, html in enumerate(pages)], "page_id long, url string, html string")
+        return firsts(Engine({"queries": {"q": query}}).table(df)).withColumnRenamed("_pos", "pos")
+
+    values = ", ".join(f"({p}, {k}, '{v}')" for p, k, v in expected)
+    return make, f"SELECT CAST(p AS BIGINT) AS page_id, CAST(k AS INTEGER) AS pos, v FROM (VALUES {values}) t(p, k, v)"
+
+
+TEXT = field(text=True)
+PAGES: dict[str, tuple[dict, list[str], list[tuple[int, int, str]]]] = {
+    "idx_quoted_end": (selected("q", TEXT), ["<q cite=\"m > n\">in</q><q title='/>'>out</q>"], [(0, 0, "in"), (0, 1, "out")]),
+    "idx_comment": (selected("em", TEXT), ["<!-- <em>no</em> --><em>yes</em>", "<em>k</em><!-- open <em>no</em>"], [(0, 0, "yes"), (1, 0, "k")]),
+    "idx_cdata": (selected("em", TEXT), ["<![CDATA[<em>no</em>]]><em>yes</em>"], [(0, 0, "yes")]),
+    "idx_declaration": (selected("em", TEXT), ["<!DOCTYPE page><?note <em>?><em>yes</em>"], [(0, 0, "yes")]),
+    "idx_implied_ends": (selected("dd", TEXT), ["<dl><dt>a<dd>b<dd>c<dt>d</dl>", "<dd>e<dl><dd>f</dl>g"], [(0, 0, "b"), (0, 1, "c"), (1, 0, "f"), (1, 1, "efg")]),
+    "idx_paragraph": (selected("p", TEXT), ["<p>one<ul><li>two</ul><p>three"], [(0, 0, "one"), (0, 1, "three")]),
+    "idx_unmatched_close": (selected("s", TEXT), ["</i></u><s>k</s></s>"], [(0, 0, "k")]),
+    "sel_id_literal": (selected("#mast", TEXT), ["<nav id=\"mast\">m</nav><nav id='mast2'>n</nav><i id=mast>o</i>"], [(0, 0, "m"), (0, 1, "o")]),
+    "sel_second_id": (selected("[id]", TEXT), ["<b id=a id=c>m</b><b id=a>n</b>"], [(0, 0, "m")]),
+    "sel_second_class": (selected("b[class=c]", TEXT), ["<b class=a class=c>m</b><b class=c>n</b>"], [(0, 0, "m")]),
+    "sel_pseudo_literal": (selected("li:first", TEXT), ["<li:first>m</li:first><li>n</li>"], [(0, 0, "m")]),
+    "sel_attribute_lexing": (selected("u", field(attribute="data-k")), ["<u data-k = 'v1'>1</u><u DATA-K=v2>2</u><u data-k>3</u>"], [(0, 0, "v1"), (0, 1, "v2"), (0, 2, "")]),
+    "qry_precedence": ({"selector": "u", "regex": "k([0-9])", "extract": [field()]}, ["<u>k5</u> k6"], [(0, 0, "5"), (0, 1, "6")]),
+    "leaf_text_false": (selected("u", field(text=False)), ["<u>m</u>"], [(0, 0, "m")]),
+}
+for key, case in PAGES.items():
+    add(key, *on_pages(*case))
+
+
 # Frontier.
 def over_config(config: dict) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: frontier(spark, Config.of(config)).select(F.col("pos").cast("long").alias("pos"), "url")
@@ -290,10 +322,11 @@ _LISTED = f"SELECT p.page_id, count(t) AS n, string_agg(t, '; ' ORDER BY pos) AS
 add("flatten_csv", _nav_flat(engine_flat), f"SELECT page_id, coalesce(texts, '') AS texts, '' AS none FROM ({_LISTED})")
 add("flatten_export", _nav_flat(flat), f"SELECT page_id, texts, CAST(NULL AS VARCHAR) AS none FROM ({_LISTED})")
 add("coerce_numeric", lambda spark, d: coerce_numbers(read(spark, d, "events").select("event_id", F.regexp_extract("props", "([0-9]+)", 1).alias("k"), F.col("value").cast("string").alias("value"), "event_type")), "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, value, event_type FROM events")
-add("text_sink", lambda spark, d: text_records(read(spark, d, "region").coalesce(1).select("r_name", "r_regionkey"), ["r_name"]), "SELECT concat('--- record ', row_number() OVER (), ' ---', chr(10), 'r_name: ', r_name, chr(10), 'r_regionkey: ', r_regionkey, chr(10)) AS value FROM region")
+add("text_sink", lambda spark, d: text_records(read(spark, d, "region").repartitionByRange(3, "r_regionkey").sortWithinPartitions("r_regionkey").select("r_name", "r_regionkey"), ["r_name"]), "SELECT concat('--- record ', row_number() OVER (ORDER BY r_regionkey), ' ---', chr(10), 'r_name: ', r_name, chr(10), 'r_regionkey: ', r_regionkey, chr(10)) AS value FROM region")
 add("print_doubles", lambda spark, d: read(spark, d, "supplier").select("s_suppkey", print_double(F.col("s_acctbal")).alias("v")), "SELECT s_suppkey, printf('%.15g', s_acctbal) AS v FROM supplier")
 add("json_doubles", lambda spark, d: read(spark, d, "supplier").select("s_suppkey", aggregates.json_number(F.round("s_acctbal").cast("double")).alias("v")), "SELECT s_suppkey, printf('%.1f', CASE WHEN s_acctbal < 0 THEN -floor(-s_acctbal + 0.5) ELSE floor(s_acctbal + 0.5) END) AS v FROM supplier")
 add("annotated", lambda spark, d: annotate(Engine({"queries": {"q": selected("title", field("t", text=True, aggregate="first"))}}, keys=("page_id", "url")).table(read(spark, d, "pages")).withColumn("s", F.lit(200)), "url", "s").select("page_id", "_url", "_status", "t"), f"SELECT page_id, url AS _url, CAST(200 AS INTEGER) AS _status, {squeezed(decoded('v'))} AS t FROM ({matched('<title>([^<]*)</title>')})")
+add("key_clash", lambda spark, d: merged(Engine({"queries": {"q": selected("title", field("page_id", text=True, aggregate="first"))}}).table(read(spark, d, "pages")).drop("_pos")), f"SELECT {squeezed(decoded('v'))} AS page_id FROM ({matched('<title>([^<]*)</title>')})")
 add("run_stats", lambda spark, d: Engine({"queries": {"q": selected("a")}}).stats(read(spark, d, "pages")), "SELECT count(*) AS pages, count(*) AS succeeded, CAST(0 AS BIGINT) AS failed, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages")
 add("schema_inference", lambda spark, d: spark.createDataFrame(sorted(schema_of(Query.of("q", selected("p", field("a", text=True), field("b", text=True, transform=["int"]), field("c", transform=["float"], aggregate="first"), field("d", aggregate="count"), field("e", aggregate="exists"), field("f", aggregate="join"), field("g", transform=["int"], aggregate="unique")))).items()), "name string, type string"), "SELECT * FROM (VALUES ('a', 'array<string>'), ('b', 'array<bigint>'), ('c', 'double'), ('d', 'bigint'), ('e', 'boolean'), ('f', 'string'), ('g', 'array<bigint>')) t(name, type)")
 add("links_join_pages", lambda spark, d: firsts(Engine({"queries": {"q": selected("a", field("href", attribute="href"))}}).table(read(spark, d, "pages"))).groupBy("href").agg(F.countDistinct("page_id").alias("pages"), F.count(F.lit(1)).alias("links")), f"SELECT {decoded('v')} AS href, count(DISTINCT page_id) AS pages, count(*) AS links FROM ({HREFS}) GROUP BY 1")

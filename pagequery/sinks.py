@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, MapType, StringType, StructType
 
 from .errors import OutputError
+from .functions.aggregates import json_number
 
 SUPPORTED_FORMATS = ("txt", "json", "jsonl", "csv", "parquet")
 ALIASES = {"text": "txt", "tsv": "csv", "pq": "parquet", "pqt": "parquet", "jsonlines": "jsonl", "ndjson": "jsonl"}
@@ -93,14 +96,15 @@ def plain(value: Any) -> Any:
 
 
 def write(df: DataFrame, path: str, fmt: str | None = None, columns: list[str] | None = None, mode: str = "overwrite", delimiter: str = ",", coerce: bool = True) -> dict:
-    """Distributed writers: a folder of part files. Returns path, format and the columns written."""
+    """Distributed writers: a folder of part files (json: an array in each). Returns path, format and the columns written."""
     kind = detect_format(path, fmt)
     if kind not in SUPPORTED_FORMATS:
         raise OutputError(f"unsupported format: {kind}")
     chosen = df.select(*[f"`{c}`" for c in columns if c in df.columns]) if columns and kind in ("json", "jsonl") else df
-    writer = chosen.write.mode(mode)
-    if kind in ("json", "jsonl"):
-        writer.option("ignoreNullFields", "false").json(path)
+    if kind == "jsonl":
+        json_lines(chosen).write.mode(mode).text(path)
+    elif kind == "json":
+        _arrays(json_lines(chosen)).write.mode(mode).text(path)
     elif kind == "csv":
         flatten(df, columns, engine=True).write.mode(mode).option("header", "true").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("nullValue", "").option("sep", delimiter).csv(path)
     elif kind == "txt":
@@ -112,20 +116,69 @@ def write(df: DataFrame, path: str, fmt: str | None = None, columns: list[str] |
 
 
 def text_records(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``key: value`` lines of each record: the columns asked for first, then the rest; without any, in order of names. Numbered within a partition order."""
+    """``key: value`` lines of each record: the columns asked for first, then the rest; without any, in order of names. Records are numbered from 1 in order of partitions."""
     rest = [c for c in df.columns if c not in (columns or ())]
     names = [c for c in columns if c in df.columns] + rest if columns else sorted(rest)
     rows = flatten(df, names, engine=True)
     body = [F.concat(F.lit(f"{c}: "), F.col(f"`{c}`")) for c in names]
-    return rows.select(F.concat_ws("\n", F.concat(F.lit("--- record "), (F.monotonically_increasing_id() + 1).cast("string"), F.lit(" ---")), *body, F.lit("")).alias("value"))
+    place = F.monotonically_increasing_id()
+    rows = rows.select(F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_row"), F.concat_ws("\n", *body, F.lit("")).alias("_body"))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a partition
+    before, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in counts):
+        offsets.append((part, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    number = (F.col("_before") + F.col("_row") + 1).cast("string")
+    return rows.join(F.broadcast(offsets), "_part").select(F.concat(F.lit("--- record "), number, F.lit(" ---\n"), F.col("_body")).alias("value"))
+
+
+def json_text(c: Column, kind) -> Column:
+    """A value as JSON: doubles as the engine prints them, null for null."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.coalesce(json_number(c.cast("double")), F.lit("null"))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: json_text(x, kind.elementType)), ", "), F.lit("]")), F.lit("null"))
+    if isinstance(kind, (StructType, MapType)):
+        return F.coalesce(F.to_json(c), F.lit("null"))
+    if isinstance(kind, StringType):
+        return F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """One column, value: each row as a JSON object with its keys in order."""
+    parts = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), json_text(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
+    return df.select(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("value"))
+
+
+def _arrays(lines: DataFrame) -> DataFrame:
+    """The lines of each partition as one JSON array."""
 
+    def run(batches):
+        held = None
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if not rows:
+                continue
+            out = ([held + ","] if held is not None else []) + [("[" if held is None and i == 0 else "") + x + "," for i, x in enumerate(rows[:-1])]
+            held = ("[" if held is None and len(rows) == 1 else "") + rows[-1]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held + "]"])], names=["value"])
 
-def write_file(df: DataFrame, path: str, fmt: str | None = None, columns: list[str] | None = None, delimiter: str = ",") -> dict:
-    """One local file through the driver, a partition at a time: for results that a person reads. Returns path, format, bytes, records."""
+    return lines.mapInArrow(run, "value string")
+
+
+def write_file(df: DataFrame, path: str, fmt: str | None = None, columns: list[str] | None = None, delimiter: str = ",", as_dict: Callable[[Row], dict] | None = None) -> dict:
+    """One local file through the driver, a partition at a time: for results that a person reads. as_dict makes a row's JSON object. Returns path, format, bytes, records."""
     kind = detect_format(path, fmt) if fmt or Path(path).suffix else "jsonl"
     target = Path(path) / f"results.{kind}" if Path(path).is_dir() else Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     n = 0
+    if kind == "parquet":
+        return {"path": str(target), "format": kind, "records": _parquet_file(flatten(df, columns), target), "bytes": target.stat().st_size}
     with target.open("w", encoding="utf-8", newline="") as f:
         if kind == "json":
             f.write("[")
@@ -145,7 +198,7 @@ def write_file(df: DataFrame, path: str, fmt: str | None = None, columns: list[s
                 f.write(f"--- record {n} ---\n" + "".join(f"{c}: {r[c]}\n" for c in names) + "\n")
         elif kind in ("json", "jsonl"):
             for r in (df.select(*columns) if columns else df).toLocalIterator():
-                text = json.dumps(plain(r.asDict(True)), ensure_ascii=False)
+                text = json.dumps(plain(as_dict(r) if as_dict else r.asDict(True)), ensure_ascii=False)
                 f.write(("\n  " if n == 0 else ",\n  ") + text if kind == "json" else text + "\n")
                 n += 1
             if kind == "json":
@@ -155,6 +208,50 @@ def write_file(df: DataFrame, path: str, fmt: str | None = None, columns: list[s
     return {"path": str(target), "format": kind, "bytes": target.stat().st_size, "records": n}
 
 
+ROW_GROUP = 64_000
+
+
+def _parquet_file(df: DataFrame, target: Path) -> int:
+    """Numbers where columns hold them, row groups of ROW_GROUP rows; dictionaries where they pay."""
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ready = coerce_numbers(df)
+    schema, rows, n = to_arrow_schema(ready.schema), [], 0
+    with pq.ParquetWriter(str(target), schema, compression="zstd", compression_level=3, use_dictionary=[f.name for f in schema if pa.types.is_string(f.type)]) as out:
+        for r in ready.toLocalIterator():
+            rows.append(r.asDict())
+            n += 1
+            if len(rows) == ROW_GROUP:
+                out.write_table(pa.Table.from_pylist(rows, schema))
+                rows = []
+        if rows:
+            out.write_table(pa.Table.from_pylist(rows, schema))
+    return n
+
+
+def export_records(spark: SparkSession, records: list[dict], path: str, fmt: str | None = None, columns: list[str] | None = None, delimiter: str = ",") -> dict:
+    """Records in memory to one file. Returns path, format, bytes, records."""
+    return write_file(records_frame(spark, records), path, fmt, columns, delimiter)
+
+
+def records_frame(spark: SparkSession, records: list[dict]) -> DataFrame:
+    """Records in memory as a DataFrame: columns in order of first appearance; a field of several types becomes JSON text."""
+    names = list(dict.fromkeys(k for r in records for k in r))
+    if not names:
+        return spark.createDataFrame([], "`_none` string").drop("_none")
+    table = {}
+    for name in names:
+        values = [plain(r.get(name)) for r in records]
+        try:
+            table[name] = pa.array(values)
+            if pa.types.is_null(table[name].type) or str(table[name].type) == "list<item: null>":
+                table[name] = table[name].cast(pa.string() if pa.types.is_null(table[name].type) else pa.list_(pa.string()))
+        except (pa.ArrowInvalid, pa.ArrowTypeError):
+            table[name] = pa.array([None if v is None else json.dumps(v, ensure_ascii=False) for v in values])
+    return spark.createDataFrame(pa.table(table))
+
+
 def annotate(df: DataFrame, url: str, status: str) -> DataFrame:
     """The page's url and status as _url and _status, unless fields have these names."""
     for name, source in (("_url", url), ("_status", status)):
@@ -163,4 +260,4 @@ def annotate(df: DataFrame, url: str, status: str) -> DataFrame:
     return df
 
 
-__all__ = ["SUPPORTED_FORMATS", "annotate", "coerce_numbers", "detect_format", "flatten", "text_records", "write", "write_file"]
+__all__ = ["SUPPORTED_FORMATS", "annotate", "coerce_numbers", "detect_format", "export_records", "flatten", "json_lines", "records_frame", "text_records", "write", "write_file"]

@@ -49,6 +49,14 @@ def opener(limits: Limits) -> urllib.request.OpenerDirector:
     return urllib.request.build_opener(proxies, _Redirects(limits))
 
 
+def _decoded(raw: bytes, charset: str | None) -> str:
+    """An unknown charset's name fails no page."""
+    try:
+        return raw.decode(charset or "utf-8", "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
 def _once(open_url, url: str, config: Config) -> Response:
     began = time.perf_counter()
     out = Response(final_url=url)
@@ -64,7 +72,7 @@ def _once(open_url, url: str, config: Config) -> Response:
             kind = reply.headers.get("Content-Encoding", "")
             raw = gzip.decompress(raw) if kind == "gzip" else zlib.decompress(raw) if kind == "deflate" else raw
             out.status, out.final_url, out.content_type = reply.status, reply.geturl() or url, reply.headers.get("Content-Type", "")
-            out.body, out.size = raw.decode(reply.headers.get_content_charset() or "utf-8", "replace"), len(raw)
+            out.body, out.size = _decoded(raw, reply.headers.get_content_charset()), len(raw)
     except Exception as e:  # whatever goes wrong with one page is that page's error
         out.error = f"[HTTP] url={url} {type(e).__name__}: {e}"
     out.latency_ms = round((time.perf_counter() - began) * 1000)

@@ -19,9 +19,9 @@ def urls(spark, **config):
 
 
 def test_frontier(spark):
-    assert urls(spark, url="http://a/i", pagination={"type": "url_param", "param": "p", "max_pages": 11}) == [f"http://a/i?p={i}" for i in range(1, 12)]
+    assert urls(spark, url="http://a/i", pagination={"type": "url_param", "param": "p", "start_page": 3, "max_pages": 9}) == [f"http://a/i?p={i}" for i in range(3, 10)]
     assert urls(spark, url="a", url_list=["b", "a", "c", "b"]) == ["a", "b", "c"]
-    assert urls(spark, pagination={"type": "offset", "base_url": "u", "offset_step": 20, "max_pages": 3}) == ["u?offset=0", "u?offset=20", "u?offset=40"]
+    assert urls(spark, pagination={"type": "offset", "base_url": "u", "offset_step": 15, "start_page": 2, "max_pages": 4}) == ["u?offset=15", "u?offset=30", "u?offset=45"]
     assert urls(spark, url="a?x", url_list=["b"], pagination={"type": "url_param", "param": "p", "start_page": 2, "max_pages": 3}) == ["a?x&p=2", "a?x&p=3"]
     assert urls(spark, url="a", pagination={"type": "next_link"}) == ["a"]
     assert urls(spark, url="a", pagination={"type": "url_param", "param": "p", "start_page": 5, "max_pages": 3}) == []
@@ -97,6 +97,68 @@ def test_sinks(spark, tmp_path):
     assert [t for _, t in coerce_numbers(mixed).dtypes] == ["bigint", "double", "string"]
 
 
+def test_sinks_read_back(spark, tmp_path):
+    from pagequery import export_records
+    from pagequery.sinks import json_lines, write, write_file
+
+    df = spark.range(0, 10, 1, 3).selectExpr("id AS no", "cast(id AS string) AS word", "id / 8.0D AS part", "array(concat('m\"', id)) AS list", "id = 4 AS flag")
+    write(df, str(tmp_path / "txt"), "txt", ["no", "word"])
+    lines = [x for f in sorted((tmp_path / "txt").glob("part-*")) for x in f.read_text().split("\n")]
+    assert [x for x in lines if x.startswith("---")] == [f"--- record {i} ---" for i in range(1, 11)]
+    assert [x for x in lines if x.startswith("no: ")] == [f"no: {i}" for i in range(10)]
+    write(df, str(tmp_path / "json"), "json")
+    arrays = [json.loads(f.read_text()) for f in sorted((tmp_path / "json").glob("part-*.txt")) if f.read_text()]
+    expected = [{"no": i, "word": str(i), "part": i / 8, "list": [f'm"{i}'], "flag": i == 4} for i in range(10)]
+    assert sorted([r for a in arrays for r in a], key=lambda r: r["no"]) == expected
+    write(df, str(tmp_path / "jsonl"), "jsonl")
+    assert sorted([json.loads(x) for f in (tmp_path / "jsonl").glob("part-*") for x in f.read_text().splitlines()], key=lambda r: r["no"]) == expected
+    assert json_lines(spark.sql("SELECT 2.0D AS d, cast(NULL AS string) AS s, cast('NaN' AS double) AS n")).first()[0] == '{"d": 2.0, "s": null, "n": null}'
+    done = write_file(df, str(tmp_path / "one.parquet"))
+    back = spark.read.parquet(str(tmp_path / "one.parquet"))
+    assert done["records"] == 10 and dict(back.dtypes)["word"] == "bigint" and dict(back.dtypes)["list"] == "string" and back.count() == 10
+    records = [{"m": 1, "n": ["a", "b"]}, {"m": 2, "k": None}]
+    assert export_records(spark, records, str(tmp_path / "some.csv"))["records"] == 2
+    assert (tmp_path / "some.csv").read_text() == "m,n,k\n1,a; b,\n2,,\n"
+
+
+def test_scrape(spark, server, tmp_path, capsys):
+    from pagequery import backend_info, scrape, scrape_file
+    from pagequery.cli import main
+
+    base, _ = server
+    config = {"url_list": [f"{base}/ok", f"{base}/none"], "user_agent": "me", "queries": {
+        "b": {"selector": "a", "extract": [{"name": "h", "rule": {"attribute": "href", "aggregate": "first"}}]},
+        "a": {"selector": "a", "extract": [{"name": "h", "rule": {"text": True, "transform": ["int"]}}, {"name": "t", "rule": {"text": True, "aggregate": "first"}}]},
+    }}
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(config))
+    found = scrape(spark, config)
+    expected = [{"_url": f"{base}/{p}", "_status": s, **r} for p, s in (("ok", 200), ("none", 404)) for r in ({"h": [None], "t": "me"}, {"h": "/x"})]
+    assert found.records == expected == scrape_file(spark, str(path)).records and found.stats.succeeded == 2
+    assert found.to_dataframe(spark).columns == ["_url", "_status", "h", "t"] and found.to_dataframe(spark, coerce=True).count() == 4
+    assert backend_info()["backend"] == "spark"
+    assert main([str(path), str(tmp_path / "all.json")]) == 0
+    assert json.loads((tmp_path / "all.json").read_text()) == [{k: r[k] for k in (*[k for k in r if k[0] != "_"], "_url", "_status")} for r in expected]
+    path.write_text(json.dumps(config | {"output": {"format": "csv", "csv_fields": ["t", "h"]}}))
+    assert main([str(path), str(tmp_path / "all.csv")]) == 0 and (tmp_path / "all.csv").read_text().splitlines()[0] == "t,h"
+    assert main([str(path), str(tmp_path / "all.parquet")]) == 0 and spark.read.parquet(str(tmp_path / "all.parquet")).count() == 4
+
+
+def test_odd_charset():
+    from pagequery.sources.http import _decoded
+
+    assert _decoded("ø".encode(), "no-such-name") == "ø" == _decoded("ø".encode("latin-1"), "latin-1")
+
+
+def test_rate(spark, server):
+    import time
+
+    base, _ = server
+    config = load_config({**LINKS, "url_list": [f"{base}/{i}" for i in range(6)], "limits": {"max_concurrent": 1, "requests_per_second": 4}})
+    began = time.monotonic()
+    assert fetch_pages(frontier(spark, config), config).count() == 6 and time.monotonic() - began >= 1.2
+
+
 def test_stream(spark, tmp_path):
     from pagequery.streaming import extract_stream, new_urls, read_pages
 
