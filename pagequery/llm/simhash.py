@@ -239,18 +239,19 @@ def links(nodes: DataFrame, radius: int, words: int = 1) -> DataFrame:
     rows = _lossless_blocks(nodes, radius) if words == 1 else _wide_blocks(nodes)
     more = [] if words == 1 else ["bits"]
     counts = rows.groupBy("g", "w").agg(F.count(F.lit(1)).alias("c"))
-    hot = counts.groupBy("g").agg(F.sum("c").alias("n")).filter(F.col("n") > TILE)
-    tiles = counts.join(hot.select("g"), "g").select("g", "w", F.ceil(F.col("c") / TILE).alias("subs"))
+    # at most a row for each value that a block can have: 2**13 times 5, or 2**10 times BLOCKS * words; small enough to broadcast
+    hot = written(counts.groupBy("g").agg(F.sum("c").alias("n")).filter(F.col("n") > TILE).select("g"), "hot")
+    tiles = counts.join(F.broadcast(hot), "g").select("g", "w", F.ceil(F.col("c") / TILE).alias("subs"))
     # tile pairs of hot values: for each weight the tiles within reach, as a number weight * 2**32 + part
     reach = tiles.select("g", "w", "subs", F.explode(F.sequence(F.greatest(F.col("w") - radius, F.lit(0)), F.col("w") + radius)).alias("w2"))
     other = tiles.select("g", F.col("w").alias("w2"), F.explode(F.sequence(F.lit(0), F.col("subs").cast("int") - 1)).alias("s2"))
     reach = reach.join(other, ["g", "w2"]).select("g", "w", "subs", (F.col("w2") * F.lit(1 << 32) + F.col("s2")).alias("other"))
-    hot_rows = rows.join(reach, ["g", "w"]).withColumn("own", F.col("w") * F.lit(1 << 32) + F.pmod(F.xxhash64("fp"), F.col("subs")))
+    hot_rows = rows.join(F.broadcast(hot), "g", "left_semi").join(reach, ["g", "w"]).withColumn("own", F.col("w") * F.lit(1 << 32) + F.pmod(F.xxhash64("fp"), F.col("subs")))
     hot_rows = hot_rows.select(
         "g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "fp", *more,
     )
-    cool = rows.join(hot.select("g"), "g", "left_anti").select("g", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(2).alias("side"), "fp", *more)
+    cool = rows.join(F.broadcast(hot), "g", "left_anti").select("g", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(2).alias("side"), "fp", *more)
     units = cool.unionByName(hot_rows).repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
     return units.mapInArrow(_compare(radius, words), "u bigint, v bigint")
 
@@ -312,8 +313,10 @@ def _member_sets(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int
     groups = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     members = written(nodes.join(groups, nodes["fp"] == groups["node"]).select(F.col("least").alias("_least"), "fp", "root", "n"), "members")
     same = F.col(key).eqNullSafe(F.col("_least"))
-    once = docs.select(key, text).join(members.filter("n = 1"), same).select("fp", "root", text)
-    repeated = docs.select(key, text).join(members.filter("n > 1"), same).dropDuplicates(["fp"]).select("fp", "root", text)
+    # texts meet their nodes in one exchange, whatever the size; only texts of members are kept
+    texts = written(docs.select(key, text).join(members.hint("merge"), same).select("fp", "root", "n", text), "texts")
+    once = texts.filter("n = 1").select("fp", "root", text)
+    repeated = texts.filter("n > 1").dropDuplicates(["fp"]).select("fp", "root", text)
 
     def make():
         return lambda texts, _: {"set": pa.array([shingle_set(x, width).tobytes() for x in texts], pa.binary())}
