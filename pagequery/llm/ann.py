@@ -75,12 +75,6 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -exponent)
 
 
-def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """In double precision on the original components, scaled."""
-    query, vectors = scaled(query), scaled(vectors)
-    return (vectors @ query) / (np.linalg.norm(vectors, axis=1) * np.linalg.norm(query))
-
-
 def _blocks(size: int):
     """Rows (id, vector, asked) -> blocks of one vector length: length, row numbers, ids, marks of queries and vectors as packed bytes."""
 
@@ -139,8 +133,9 @@ def _search(k: int):
                 rows, ids, v = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
                 codes, corrections = np.frombuffer(r["codes"], np.uint64).reshape(len(ids), -1), np.frombuffer(r["corrections"], np.float64)
                 q_rows, q_ids, q = np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"], np.float64).reshape(-1, dim)
-                unit = scaled(q)
-                turned = (unit / np.linalg.norm(unit, axis=1)[:, None]) @ rotation(dim).T
+                v, q = scaled(v), scaled(q)
+                size, q_size = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
+                turned = (q / q_size[:, None]) @ rotation(dim).T
                 out: list[tuple[np.ndarray, ...]] = []
                 for first in range(0, len(q_ids), 32):
                     group = q_rows[first : first + 32]
@@ -151,7 +146,7 @@ def _search(k: int):
                     hits = other & (guess + error >= floor[:, None])
                     for i, own in enumerate(group.tolist()):
                         at = np.flatnonzero(hits[i])
-                        scores = cosines(q[first + i], v[at]) if len(at) else np.empty(0)
+                        scores = (v[at] @ q[first + i]) / (size[at] * q_size[first + i])
                         top = best(ids[at], scores, k)
                         out.append((np.full(len(top), own), np.full(len(top), q_ids[first + i]), ids[at][top], scores[top]))
                 if out:
