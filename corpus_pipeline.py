@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pagequery.llm import bpe, decontaminate, langid, linededup, simhash
 from pagequery.llm.common import numbered, table, written
 
-#: Documents are rejected whose best cosine with a language is not above LANGUAGE_PART of the LANGUAGE_SHARE quantile of that language's own texts of like length, as are those without a letter.
-LANGUAGE_SHARE, LANGUAGE_PART = 0.05, 1 / 4
+#: Documents are rejected whose best cosine with a language, raised by its sampling error 1 / sqrt(n-grams), is not above LANGUAGE_PART of the LANGUAGE_SHARE quantile of that
+#: language's own texts of like length, as are those without a letter. The median holds however many such documents there are below a half; the error keeps short texts.
+LANGUAGE_SHARE, LANGUAGE_PART = 0.5, 1 / 4
 MIN_LINE_DOCS = 10
 #: Near-duplicates share at least 0.8 of their five-word shingles. Candidates are those whose fingerprints differ in at most 60 of 256 bits (39 on average at 0.8).
 SHINGLE, WORDS, RADIUS, ALIKE = 5, 4, 60, 0.8
@@ -30,7 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     floor = F.lit(0.0)
     for name, row in least.items():
         floor = F.when(F.col("lang_pred") == name, F.get(F.array(*map(F.lit, row)), langid.length_class(F.col("grams")))).otherwise(floor)
-    return marked.filter((F.col("lang_pred") != "und") & (F.col("score") > floor)).select(*rows.columns).toDF(*names)
+    likely = F.col("score") + 1 / F.sqrt(F.greatest(F.col("grams"), F.lit(1)))
+    return marked.filter((F.col("lang_pred") != "und") & (likely > floor)).select(*rows.columns).toDF(*names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
