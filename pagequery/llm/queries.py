@@ -98,6 +98,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY rid, doc_id
 """
 
+REPEATS_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+starts AS (SELECT rid, w, unnest(range(1, len(w) - 33)) AS pos FROM docs),
+windows AS (SELECT rid, pos, sha256(array_to_string(w[pos:pos + 34], ' ')) AS h FROM starts),
+often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, pos + j AS pos FROM windows SEMI JOIN often USING (h), range(0, 35) t(j)),
+marked AS (SELECT words.*, gone.pos IS NOT NULL AS gone FROM words LEFT JOIN gone USING (rid, pos)),
+summed AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN summed USING (rid)
+"""
+
 NEAREST_SQL = """
 WITH rows AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -111,4 +123,4 @@ QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_language_id,
 
 
 def sql() -> dict[str, str]:
-    return {"op2_url_filter": _url_sql(), "op5_line_dedup": LINES_SQL, "op10_nearest": NEAREST_SQL}
+    return {"op2_url_filter": _url_sql(), "op5_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op10_nearest": NEAREST_SQL}
