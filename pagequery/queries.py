@@ -115,9 +115,6 @@ add("b_recovery", over_pages(selected("b", field("text", text=True), multiple=Fa
     "SELECT page_id, CAST(0 AS INTEGER) AS pos, " + squeezed(decoded("regexp_replace(regexp_extract(html, '(?s).*<b>(.*?)</article>', 1), '<[^>]*>', '', 'g')")) + " AS text FROM pages WHERE contains(html, '<b>')")
 add("script_is_raw", over_pages(selected("script", field("html", regex="<script>([^\\x00]*)</script>")), clean=False), f"SELECT page_id, pos, v AS html FROM ({matched('<script>(.*?)</script>')})")
 add("title_double_decode", over_pages(selected("title", field("once", text=True, clean=False), field("twice", text=True))), f"SELECT page_id, pos, {squeezed(decoded('v'))} AS once, {squeezed(decoded(decoded('v')))} AS twice FROM ({matched('<title>([^<]*)</title>')})")
-for mask, sql in (("fold", decoded("v")), ("invisibles", decoded("v")), ("null_tokens", decoded("v"))):
-    add(f"title_sieve_{mask}", over_pages(selected("title", field("text", text=True, clean=[mask]))), f"SELECT page_id, pos, {squeezed(sql)} AS text FROM ({matched('<title>([^<]*)</title>')})")
-
 # Aggregates: one record a page.
 for tag in ("li", "p", "b", "a", "script", "style", "title", "nav", "ul", "article", "br", "meta"):
     opening = f"<{tag}[ >]"
@@ -195,7 +192,7 @@ EMAIL, IP = "[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+[.][a-zA-Z]+", "[0-9]+[.][0-9]+[.][0-
 add("props_int", over_texts("events", "event_id", "props", {"regex": '"k": ([0-9]+)', "extract": [field("k", transform=["int"], aggregate="first")]}), f"SELECT event_id, pos, CAST(v AS BIGINT) AS k FROM ({matched('"k": ([0-9]+)', 1, 'events', 'props', 'event_id')})")
 add("docs_emails", over_texts("documents", "doc_id", "text", {"regex": EMAIL, "extract": [field("m")]}), f"SELECT doc_id, pos, v AS m FROM ({matched(EMAIL, 0, 'documents', 'text', 'doc_id')})")
 add("docs_ips", over_texts("documents", "doc_id", "text", {"regex": IP, "extract": [field("m")]}), f"SELECT doc_id, pos, v AS m FROM ({matched(IP, 0, 'documents', 'text', 'doc_id')})")
-add("chat_numbers", over_texts("conversations", "conv_id", "text", {"regex": "[0-9]+", "extract": [field("n", transform=["int"], aggregate="first")]}), f"SELECT conv_id, pos, TRY_CAST(v AS BIGINT) AS n FROM ({matched('[0-9]+', 0, 'conversations', 'text', 'conv_id')})")
+add("chat_sentence_starts", over_texts("conversations", "conv_id", "text", {"regex": "[.] ([A-Z])", "extract": [field("n", transform=["lowercase"], aggregate="first")]}), f"SELECT conv_id, pos, lower(v) AS n FROM ({matched('[.] ([A-Z])', 1, 'conversations', 'text', 'conv_id')})")
 add("bulk_selector_is_empty", over_texts("documents", "doc_id", "text", selected("p", field("t", text=True))), "SELECT doc_id, CAST(0 AS INTEGER) AS pos, '' AS t FROM documents WHERE false")
 
 
@@ -261,18 +258,23 @@ for key, (rows, build, *kind) in LITERALS.items():
     add(key, *literal(rows, build, *kind))
 
 
+def literal_text(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
 # Small pages: (query, pages, expected values as (page, place, value)).
-def on_pages(query: dict, pages: list[str], expected: list[tuple[int, int, str]]) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+def on_pages(query: dict, pages: list[str], expected: list[tuple[int, int, str | None]]) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
     def make(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spark.createDataFrame([(i, BASE_URL, html) for i, html in enumerate(pages)], "page_id long, url string, html string")
         return firsts(Engine({"queries": {"q": query}}).table(df)).withColumnRenamed("_pos", "pos")
 
-    values = ", ".join(f"({p}, {k}, '{v}')" for p, k, v in expected)
+    values = ", ".join(f"({p}, {k}, {'NULL' if v is None else literal_text(v)})" for p, k, v in expected)
     return make, f"SELECT CAST(p AS BIGINT) AS page_id, CAST(k AS INTEGER) AS pos, v FROM (VALUES {values}) t(p, k, v)"
 
 
 TEXT = field(text=True)
-PAGES: dict[str, tuple[dict, list[str], list[tuple[int, int, str]]]] = {
+SIGNS = ["<u> ‘Quay’ – b" + chr(0x200B) + "ell</u>", "<u>N/A</u>", "<u>£1,250 " + chr(0x2009) + "net</u>"]
+PAGES: dict[str, tuple[dict, list[str], list[tuple[int, int, str | None]]]] = {
     "idx_quoted_end": (selected("q", TEXT), ["<q cite=\"m > n\">in</q><q title='/>'>out</q>"], [(0, 0, "in"), (0, 1, "out")]),
     "idx_comment": (selected("em", TEXT), ["<!-- <em>no</em> --><em>yes</em>", "<em>k</em><!-- open <em>no</em>"], [(0, 0, "yes"), (1, 0, "k")]),
     "idx_cdata": (selected("em", TEXT), ["<![CDATA[<em>no</em>]]><em>yes</em>"], [(0, 0, "yes")]),
@@ -286,6 +288,11 @@ PAGES: dict[str, tuple[dict, list[str], list[tuple[int, int, str]]]] = {
     "sel_pseudo_literal": (selected("li:first", TEXT), ["<li:first>m</li:first><li>n</li>"], [(0, 0, "m")]),
     "sel_attribute_lexing": (selected("u", field(attribute="data-k")), ["<u data-k = 'v1'>1</u><u DATA-K=v2>2</u><u data-k>3</u>"], [(0, 0, "v1"), (0, 1, "v2"), (0, 2, "")]),
     "qry_precedence": ({"selector": "u", "regex": "k([0-9])", "extract": [field()]}, ["<u>k5</u> k6"], [(0, 0, "5"), (0, 1, "6")]),
+    "sieve_fold": (selected("u", field(text=True, clean=["fold"])), SIGNS, [(0, 0, "'Quay' - b" + chr(0x200B) + "ell"), (1, 0, "N/A"), (2, 0, "£1,250 " + chr(0x2009) + "net")]),
+    "sieve_invisibles": (selected("u", field(text=True, clean=["invisibles"])), SIGNS, [(0, 0, "‘Quay’ – bell"), (1, 0, "N/A"), (2, 0, "£1,250 " + chr(0x2009) + "net")]),
+    "sieve_whitespace": (selected("u", field(text=True, clean=["whitespace"])), SIGNS, [(0, 0, "‘Quay’ – b" + chr(0x200B) + "ell"), (1, 0, "N/A"), (2, 0, "£1,250 net")]),
+    "sieve_numeric": (selected("u", field(text=True, clean=["numeric"])), ["<u>£1,250.75</u><u>1,250 net</u>"], [(0, 0, "1250.75"), (0, 1, "1,250 net")]),
+    "sieve_null_tokens": (selected("u", field(text=True, clean=["null_tokens"])), SIGNS, [(0, 0, "‘Quay’ – b" + chr(0x200B) + "ell"), (1, 0, None), (2, 0, "£1,250 " + chr(0x2009) + "net")]),
     "leaf_text_false": (selected("u", field(text=False)), ["<u>m</u>"], [(0, 0, "m")]),
 }
 for key, case in PAGES.items():
