@@ -375,3 +375,14 @@ def test_pipeline_rejects_no_language(spark):
     clean = [(r["doc_id"], len(r["text"] or "")) for r in docs.collect()]
     assert not any(p[0] in kept for p in planted)
     assert np.mean([i in kept for i, _ in clean]) > 0.99 and all(i in kept for i, n in clean if 0 < n < 200)
+
+
+def test_language_floor_with_many_rejects(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    letters = rng.integers(97, 123, (300, 200, 6))
+    planted = [(-1 - i, " ".join("".join(map(chr, word)) for word in text), "en") for i, text in enumerate(letters.tolist())]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.union(spark.createDataFrame(planted, docs.schema)), SF).select("doc_id").collect()}
+    clean = [(r["doc_id"], len(r["text"] or "")) for r in docs.collect()]
+    assert sum(p[0] in kept for p in planted) <= 3
+    assert np.mean([i in kept for i, _ in clean]) > 0.99 and all(i in kept for i, n in clean if 0 < n < 200)
