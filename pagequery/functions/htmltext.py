@@ -11,16 +11,18 @@ from .let import let
 _BODY = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
 _NAME = r"[A-Za-z][A-Za-z0-9_:-]*+"
 _BLANK = r"[ \t\n\r\f\x0B]"
+#: Runs of white space but for one plain space.
+_BLANKS = rf" {_BLANK}++|[\t\n\r\f\x0B]{_BLANK}*+"
 #: Marks where markup stood, so that a reference never closes over it; and an ampersand inside CDATA, which is no reference.
 _CUT, _AMP = "", ""
 _MARKUP = (
-    rf"<(?:/|(?!(?i:script|style)(?![A-Za-z0-9_:-]))){_NAME}{_BODY}"  # first what is most frequent
-    r"|<!--[\s\S]*?(?:-->|\z)"
-    r"|<!\[CDATA\[([\s\S]*?)(?:\]\]>|\z)"
-    r"|<[!?][^>]*+(?:>|\z)"
-    rf"|<(?i:(script|style))(?![A-Za-z0-9_:-]){_BODY}(?<!/{_BLANK}{{0,64}}>)(?:[\s\S]*?(?i:</\2)(?:{_BODY}|[\s\S]*+)|[\s\S]*+)"
-    rf"|</?{_NAME}{_BODY}"
-    r"|</?[A-Za-z][\s\S]*+"
+    rf"<(?:(?:/|(?!(?i:script|style)(?![A-Za-z0-9_:-]))){_NAME}{_BODY}"  # first what is most frequent
+    r"|!--[\s\S]*?(?:-->|\z)"
+    r"|!\[CDATA\[([\s\S]*?)(?:\]\]>|\z)"
+    r"|[!?][^>]*+(?:>|\z)"
+    rf"|(?i:(script|style))(?![A-Za-z0-9_:-]){_BODY}(?<!/{_BLANK}{{0,64}}>)(?:[\s\S]*?(?i:</\2)(?:{_BODY}|[\s\S]*+)|[\s\S]*+)"
+    rf"|/?{_NAME}{_BODY}"
+    r"|/?[A-Za-z][\s\S]*+)"
 )
 
 
@@ -39,7 +41,7 @@ def html_text(c: Column) -> Column:
     def full(v: Column) -> Column:
         cut = F.regexp_replace(_guard_cdata(v), _MARKUP, f"$1{_CUT}")
         text = F.replace(F.replace(decode_leaf(cut), F.lit(_CUT), F.lit("")), F.lit(_AMP), F.lit("&"))
-        return F.btrim(F.regexp_replace(text, f"{_BLANK}++", " "), F.lit(" "))
+        return F.btrim(F.regexp_replace(text, _BLANKS, " "), F.lit(" "))
 
     def simple(v: Column) -> Column:
         """Without markup and runs of white space, a single inner line break or tab stays."""

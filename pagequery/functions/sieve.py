@@ -11,9 +11,11 @@ from .let import let
 
 # Character classes, folds, currency signs and tokens.
 ASCII_BLANK = r"[ \t\n\r\f\x0B]"
-_SPACES = r"[ \t\n\r\f\x0B\x{A0}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]++"
+_SPACE = r" \t\n\r\f\x0B\x{A0}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Runs of white space but for one plain space, which stays what it is. What && stands before is a quick test that letters fail.
+_SPACES = rf" [{_SPACE}]++|[\x00-\x1F\x{{80}}-\x{{3000}}&&[{_SPACE}]][{_SPACE}]*+"
 _CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-_UNSEEN = r"[\x{80}-\x{9F}\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
+_UNSEEN = r"[\x{80}-\x{FEFF}&&[\x{80}-\x{9F}\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]]"
 _PLAIN = r"^[a-zA-Z0-9 \t\n\r\f\x0B!@#%^*()\-_=+\[\]{}|;:,.<>?/'\"\\`~]*+$"
 _FOLDED = "‘’′“”″–—‒―«»‹›"
 _FOLDS = "'''\"\"\"----\"\"''"

@@ -1,8 +1,10 @@
 """End-to-end cases: config and HTML -> records."""
 
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagequery import Config, ConfigError, extract, load_config
 
@@ -131,7 +133,6 @@ def test_urljoin(spark, base, rel, expected):
 
 
 def columns(spark, values, build):
-    from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     return [r[0] for r in df.orderBy("i").select(build(F.col("v"))).collect()]
@@ -151,6 +152,21 @@ def test_stages(spark):
     assert columns(spark, ["na", "Nil", "--", "", "—", "UNKNOWN", "zero", "."], S.is_null_token) == [True] * 6 + [False] * 2
 
 
+def test_every_character(spark):
+    """White space and invisibles, for every character of the first plane, alone, doubled and beside a space."""
+    from pagequery.functions import sieve as S
+
+    blank = set(" \t\n\r\f\x0b") | {chr(c) for c in [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]}
+    unseen = {chr(c) for c in [*range(9), 11, 12, *range(14, 32), *range(127, 160), 0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF]}
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b{c}{c}c {c}d{c} e  f g{c}" for c in chars]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    out = rows.select("v", S.whitespace(F.col("v")).alias("w"), S.invisibles(F.col("v")).alias("i")).toPandas()
+    runs = re.compile("[" + "".join(sorted(blank)) + "]+")
+    assert out["w"].tolist() == [runs.sub(" ", t).strip(" ") for t in out["v"]]
+    assert out["i"].tolist() == ["".join(x for x in t if x not in unseen) for t in out["v"]]
+
+
 def test_numbers(spark):
     from pagequery.functions import transforms as T
 
