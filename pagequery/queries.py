@@ -14,7 +14,7 @@ from .functions import aggregates, sieve, transforms
 from .functions.entities import decode_clean, decode_leaf
 from .functions.htmltext import html_text
 from .functions.regex import find_all
-from .functions.register import HtmlElements
+from .functions.register import HtmlElements, register
 from .plans.compiler import schema_of
 from .sinks import annotate, coerce_numbers, engine_flat, flat, print_double, text_records
 from .sources.frontier import dedup, frontier, paginate
@@ -164,6 +164,23 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("html_elements_udtf", _elements, "SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)[ >/]', 1)) AS tag FROM pages) GROUP BY page_id, tag")
 
 
+def _sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    read(spark, sf_dir, "pages").createOrReplaceTempView("pagequery_pages")
+    return spark.sql("SELECT page_id, html_text(regexp_extract(html, '<h1>[^<]*</h1>', 0)) AS text, url_join(url, '/x?y') AS joined FROM pagequery_pages")
+
+
+def _sql_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    read(spark, sf_dir, "documents").createOrReplaceTempView("pagequery_documents")
+    return spark.sql("SELECT doc_id, clean_text(text) AS v FROM pagequery_documents")
+
+
+H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+add("sql_functions", _sql_functions, f"SELECT page_id, {squeezed(decoded(H1))} AS text, {BASE} || '/x?y' AS joined FROM pages")
+add("sql_clean_text", _sql_clean_text, f"SELECT doc_id, {squeezed('text')} AS v FROM documents")
+
+
 def _closing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.compiler import wanted_of
     from .operators.index import index_pages

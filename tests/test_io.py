@@ -178,6 +178,26 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT url_host('http://u@h.org/x') h, ascii_lower('ÉA') l").first() == ("h.org", "Éa")
 
 
+def test_sql_functions_are_the_builders(spark):
+    from pyspark.sql import functions as F
+
+    from pagequery.config import DEFAULT_CLEAN
+    from pagequery.functions.htmltext import html_text
+    from pagequery.functions.register import register
+    from pagequery.functions.sieve import nulls, sieve
+    from pagequery.functions.transforms import url_join
+
+    assert register(spark) == ["html_elements", "url_host", "ascii_lower", "clean_text", "html_text", "url_join"]
+    texts = [None, "", " it's \\ 'so' ", "<p>Oak &amp; <b>elm</b>&#8212;ash\n\t x</p>", "<script>1 < 2</script>left", "a&nbsp;&eacute;\u200bz", "<![CDATA[&amp;]]> &amp;", "/down?x=1", "?q", "//h.net/p", "mailto:x@y.z", "up one"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows.createOrReplaceTempView("sql_texts")
+    base = "https://w.example/a/b?c"
+    by_sql = spark.sql(f"SELECT clean_text(t), html_text(t), url_join('{base}', t) FROM sql_texts")
+    t = F.col("t")
+    assert "Python" not in by_sql._jdf.queryExecution().executedPlan().toString()
+    assert by_sql.collect() == rows.select(nulls(sieve(t, DEFAULT_CLEAN), DEFAULT_CLEAN), html_text(t), url_join(F.lit(base), t)).collect()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
