@@ -45,16 +45,18 @@ def _code_point(ref: Column) -> Column:
     return F.when(F.char_length(body) > 8, F.lit(0x110000)).otherwise(value)
 
 
-_REFERENCE = "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+_NUMERIC = r"\A#(?:[0-9]+|[xX][0-9a-fA-F]+)\z"
 
 
 def _decode(c: Column, value) -> Column:
     """c with each reference replaced by value(reference), kept where that is null; one pass, so nothing decodes twice."""
 
     def piece(p: Column, i: Column) -> Column:
-        ref = F.regexp_extract(p, _REFERENCE, 1)
+        # what stands before the first semicolon; names need no pattern, as the table holds names alone
+        ref = F.substring_index(p, ";", 1)
         rest = F.substring(p, F.char_length(ref) + 2, F.char_length(p))
-        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(F.when(ref != "", let(ref, value)), rest), F.concat(F.lit("&"), p)))
+        known = F.when((ref != p) & (~ref.startswith("#") | ref.rlike(_NUMERIC)), let(ref, value))
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(known, rest), F.concat(F.lit("&"), p)))
 
     return let(c, lambda v: F.when(v.contains("&"), F.array_join(F.transform(F.split(v, "&", -1), piece), "")).otherwise(v))
 

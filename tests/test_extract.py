@@ -152,6 +152,27 @@ def test_stages(spark):
     assert columns(spark, ["na", "Nil", "--", "", "—", "UNKNOWN", "zero", "."], S.is_null_token) == [True] * 6 + [False] * 2
 
 
+def test_references_by_hand(spark):
+    """Random runs of parts of references, against one pass of a pattern."""
+    import random
+
+    from pagequery.functions.entities import LEAF, decode_leaf
+
+    numbers = {"#65": "A", "#x41": "A", "#X041": "A", "#0": "\ufffd", "#133": "…"}
+    draw = random.Random(5)
+    parts = ["&", "&", "&", ";", ";", "#", "amp", "euro", "chi", "sup2", "x", "zz", "é", "\n", " ", "#65", "#x41", "#X041", "#0", "#133", "#6a", "#65\n"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(12))) for _ in range(20_000)]
+
+    def value(m):
+        return numbers.get(m[1], m[0]) if m[1][0] == "#" else LEAF.get(m[1], m[0])
+
+    expected = [re.sub("&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", value, t) for t in texts]
+    whole = [i for i, t in enumerate(texts) if not re.search("&#[xX]?[0-9a-fA-F]+;", t) or all(m in numbers for m in re.findall("&(#[xX]?[0-9a-fA-F]+);", t))]
+    assert len(whole) > 15_000
+    got = columns(spark, [texts[i] for i in whole], decode_leaf)
+    assert got == [expected[i] for i in whole]
+
+
 def test_every_character(spark):
     """White space and invisibles, for every character of the first plane, alone, doubled and beside a space."""
     from pagequery.functions import sieve as S
