@@ -6,8 +6,9 @@ component, meets the packed bits in and-plus-bit-count operations; the estimate
 correction has an error bound of EPSILON standard deviations. Per block, every vector whose upper bound
 reaches the k-th best lower bound is scored exactly on the original vectors in double precision.
 
-All rows are indexed; nothing is trained. Index and queries lie in blocks of bounded size; every query
-block meets every index block, and a pair of blocks returns k rows per query, so the merge sees k rows per query and block.
+All rows are indexed; nothing is trained. Index and queries lie in blocks of bounded size in scratch tables; every query
+block meets every index block in a product of the two tables, which copies nothing through a shuffle or the driver. A task streams its part of the
+index past its query blocks and returns k rows per query, so the merge sees k rows per query and part. Vectors lie as single floats where that loses nothing.
 Blocks are large, so that a byte of vectors moves once for a few hundred bounds that are worked out.
 Vectors that are null, zero, or hold null or non-finite components take no part; neither do null
 ids. Cosines are taken on vectors scaled by a power of two, which changes no digit and keeps squares finite. Vectors of different
@@ -33,6 +34,12 @@ QUERY_BITS = 6
 #: Bytes of vectors in an index block and a query block.
 BLOCK_BYTES = 1 << 20
 QUERY_BYTES = 1 << 20
+#: Blocks in a row group of the scratch tables.
+GROUP_BLOCKS = 8
+#: Query blocks of a task, about, and the least number of tasks that query blocks are dealt to. A task holds its query blocks at once.
+TASK_QUERIES, LEAST_TASKS = 16, 8
+#: Results that a task holds before it returns them, about.
+HELD_ROWS = 1 << 21
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -75,16 +82,29 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -exponent)
 
 
+def narrowed(vectors: np.ndarray) -> np.ndarray:
+    """Single floats, if they hold the same numbers."""
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
+    return single if (single == vectors).all() else vectors
+
+
+def unpacked(data: bytes, dim: int, count: int) -> np.ndarray:
+    """Packed vectors, a row each, as the single or double floats they were packed as."""
+    return np.frombuffer(data, np.float32 if len(data) == 4 * dim * count else np.float64).reshape(count, dim)
+
+
 def _blocks(size: int):
-    """Rows (id, vector, asked) -> blocks of one vector length: length, row numbers, ids, marks of queries and vectors as packed bytes."""
+    """Rows (id, vector, asked) -> blocks of one vector length: length, row numbers, ids, marks of queries, vectors, codes and corrections as packed bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
 
         def block(dim: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            cols = [pa.array([np.concatenate(x).tobytes()]) for x in zip(*parts, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *cols], names=["dim", "rows", "ids", "asked", "vectors"])
+            rows, own, asked, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cols = [rows, own, asked, narrowed(v), *encode(v)]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([x.tobytes()]) for x in cols]], names=["dim", "rows", "ids", "asked", "vectors", "codes", "corrections"])
 
         for b in batches:
             ids, lists = b.column(0), b.column(1)
@@ -113,7 +133,7 @@ def _blocks(size: int):
     return run
 
 
-BLOCK_SCHEMA = "dim int, rows binary, ids binary, asked binary, vectors binary"
+BLOCK_SCHEMA = "dim int, rows binary, ids binary, asked binary, vectors binary, codes binary, corrections binary"
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -125,18 +145,31 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
+def merged(found: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    """Results (query row, query id, id, score) -> each query row's k best, ties to the smaller id."""
+    rows, q_ids, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, -scores, rows))
+    own = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    order = order[np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) < k]
+    return [x[order] for x in (rows, q_ids, ids, scores)]
+
+
 def _search(k: int):
+    """Pairs of an index block and a query block -> the k best of each query in all its pairs of the task."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for r in b.to_pylist():
                 dim = r["dim"]
-                rows, ids, v = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
+                rows, ids = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
                 codes, corrections = np.frombuffer(r["codes"], np.uint64).reshape(len(ids), -1), np.frombuffer(r["corrections"], np.float64)
-                q_rows, q_ids, q = np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"], np.float64).reshape(-1, dim)
-                v, q = scaled(v), scaled(q)
+                q_rows, q_ids = np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                v, q = (scaled(unpacked(x, dim, n).astype(np.float64)) for x, n in ((r["vectors"], len(ids)), (r["q_vectors"], len(q_ids))))
                 size, q_size = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
                 turned = (q / q_size[:, None]) @ rotation(dim).T
-                out: list[tuple[np.ndarray, ...]] = []
+                out: list[list[np.ndarray]] = []
                 for first in range(0, len(q_ids), 32):
                     group = q_rows[first : first + 32]
                     other = rows[None, :] != group[:, None]
@@ -148,20 +181,20 @@ def _search(k: int):
                         at = np.flatnonzero(hits[i])
                         scores = (v[at] @ q[first + i]) / (size[at] * q_size[first + i])
                         top = best(ids[at], scores, k)
-                        out.append((np.full(len(top), own), np.full(len(top), q_ids[first + i]), ids[at][top], scores[top]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(4)], names=["q_row", "query_id", "vec_id", "score"])
+                        out.append([np.full(len(top), own), np.full(len(top), q_ids[first + i]), ids[at][top], scores[top]])
+                block = int(q_rows[0])  # a row asks in one block only
+                held[block] = merged([held[block], *out] if block in held else out, k)
+                if sum(len(x[0]) for x in held.values()) > HELD_ROWS:
+                    yield from _results(held)
+                    held = {}
+        yield from _results(held)
 
     return run
 
 
-def _codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in b.to_pylist():
-            codes, corrections = encode(np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"]))
-            more = {"codes": codes.tobytes(), "corrections": corrections.astype(np.float64).tobytes()}
-            cols = {k: v for k, v in r.items() if k not in ("dim", "asked")} | more
-            yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), *[pa.array([x]) for x in cols.values()]], names=["dim", *cols])
+def _results(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for found in held.values():
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["q_row", "query_id", "vec_id", "score"])
 
 
 def _queries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,41 +203,43 @@ def _queries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in b.to_pylist():
             own = np.frombuffer(r["asked"], np.uint8) == 1
             if own.any():
-                kept = [np.frombuffer(r["rows"], np.int64)[own], np.frombuffer(r["ids"], np.int64)[own], np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"])[own]]
-                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), *[pa.array([x.tobytes()]) for x in kept]], names=["dim", "q_rows", "q_ids", "q_vectors"])
+                kept = [np.frombuffer(r["rows"], np.int64)[own], np.frombuffer(r["ids"], np.int64)[own], unpacked(r["vectors"], r["dim"], len(own))[own]]
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), *[pa.array([x.tobytes()]) for x in kept]], names=["q_dim", "q_rows", "q_ids", "q_vectors"])
 
 
 def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of queries put together to blocks of about QUERY_BYTES."""
-    held: dict[int, list[tuple]] = {}
+    """Blocks of queries put together to blocks of about QUERY_BYTES, single and double floats apart."""
+    held: dict[tuple[int, int], list[tuple]] = {}
 
-    def block(dim: int) -> pa.RecordBatch:
-        parts = held.pop(dim)
-        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([b"".join(x)]) for x in zip(*parts, strict=True)]], names=["dim", "q_rows", "q_ids", "q_vectors"])
+    def block(kind: tuple[int, int]) -> pa.RecordBatch:
+        parts = held.pop(kind)
+        return pa.RecordBatch.from_arrays([pa.array([kind[0]], pa.int32()), *[pa.array([b"".join(x)]) for x in zip(*parts, strict=True)]], names=["q_dim", "q_rows", "q_ids", "q_vectors"])
 
     for b in batches:
         for r in b.to_pylist():
-            held.setdefault(r["dim"], []).append((r["q_rows"], r["q_ids"], r["q_vectors"]))
-            if sum(len(x[2]) for x in held[r["dim"]]) >= QUERY_BYTES:
-                yield block(r["dim"])
-    for dim in list(held):
-        yield block(dim)
+            kind = r["q_dim"], len(r["q_vectors"]) // len(r["q_rows"])
+            held.setdefault(kind, []).append((r["q_rows"], r["q_ids"], r["q_vectors"]))
+            if sum(len(x[2]) for x in held[kind]) >= QUERY_BYTES:
+                yield block(kind)
+    for kind in list(held):
+        yield block(kind)
 
 
 def nearest(vectors: DataFrame, asked: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of vectors that meets asked (a condition on the key), its k nearest other rows."""
     spark = vectors.sparkSession
     rows = pick(vectors, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), asked.alias("asked"))
-    blocks = written(rows.mapInArrow(_blocks(BLOCK_BYTES), BLOCK_SCHEMA), "blocks")
-    index = blocks.mapInArrow(_codes, "dim int, rows binary, ids binary, vectors binary, codes binary, corrections binary")
-    q_schema = "dim int, q_rows binary, q_ids binary, q_vectors binary"
+    blocks = written(rows.mapInArrow(_blocks(BLOCK_BYTES), BLOCK_SCHEMA), "blocks", GROUP_BLOCKS)
+    q_schema = "q_dim int, q_rows binary, q_ids binary, q_vectors binary"
     # dealt by length into few tasks, so that blocks of queries are as large as they may be
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = blocks.mapInArrow(_queries, q_schema)
-    queries = written(few.repartition(parts, F.pmod(F.xxhash64("q_rows"), F.lit(max(1, parts // 4)))).mapInArrow(_joined, q_schema), "queries")
-    # rows here are blocks: each query block goes to every part of the index once
-    spread = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
-    everywhere = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    found = spread.join(everywhere, ["part", "dim"]).mapInArrow(_search(k), "q_row bigint, query_id bigint, vec_id bigint, score double")
+    few = blocks.select("dim", "rows", "ids", "asked", "vectors").mapInArrow(_queries, q_schema)
+    queries = written(few.repartition(parts, F.pmod(F.xxhash64("q_rows"), F.lit(max(1, parts // 4)))).mapInArrow(_joined, q_schema), "queries", GROUP_BLOCKS)
+    # rows here are blocks: a task holds a few query blocks, the right side, and streams a part of the index past them; the hint
+    # keeps either side from being broadcast, and the condition, being no equation, from being sorted and shuffled
+    queries = queries.coalesce(max(LEAST_TASKS, -(-queries.count() // TASK_QUERIES)))
+    index = blocks.drop("asked").coalesce(max(1, -(-parts // max(1, queries.rdd.getNumPartitions()))))
+    pairs = index.hint("shuffle_replicate_nl").join(queries, (F.col("dim") >= F.col("q_dim")) & (F.col("dim") <= F.col("q_dim")))
+    found = pairs.drop("q_dim").mapInArrow(_search(k), "q_row bigint, query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

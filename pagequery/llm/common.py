@@ -75,11 +75,16 @@ def delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    Tables of large rows need group, the most rows of a row group, as writers and readers hold a whole one (100 rows at least
+    without it); they are not packed, so that what Spark reads into a task is as large as its part of the file.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    options = {"parquet.block.row.count.limit": group, "parquet.enable.dictionary": "false", "compression": "uncompressed"} if group else {}
+    df.write.options(**options).parquet(path)
     atexit.register(delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,12 +5,13 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagequery.llm import ann, bpe, linededup, simhash, substring, urlfilter, wordhash
+from pagequery.llm import ann, bpe, common, linededup, simhash, substring, urlfilter, wordhash
 
 from .conftest import DOCS, docs_of
 
@@ -312,6 +313,68 @@ def test_nearest_of_one_id_and_extremes(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in out) == sorted((*e[:3], round(e[3], 12)) for e in expected)
 
 
+def test_nearest_broadcasts_nothing(spark):
+    """Copies of the queries for each part of the index, broadcast, once filled the driver."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(3).standard_normal((200, 8)))]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert out.count() == 20
+
+
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    """Single and double floats of one length, in blocks of 16 vectors and results returned early, against brute force."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 16 * 8 * 12)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((240, 12))
+    v[:120] = v[:120].astype(np.float32)
+    v[200:206] = v[0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    expected = []
+    for q in range(0, 240, 50):
+        scores = [(-round(float(unit[i] @ unit[q]), 12), i) for i in range(240) if i != q]
+        expected += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(scores)[:5], 1)]
+    out = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in ann.nearest(df, F.col("vec_id") % 50 == 0, 5).collect()]
+    assert sorted(x[:3] for x in out) == sorted(x[:3] for x in expected)
+    assert np.allclose([x[3] for x in sorted(out)], [x[3] for x in sorted(expected)], atol=1e-11)
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(240)), "v": v.tolist(), "asked": [i % 50 == 0 for i in range(240)]})
+    blocks = list(ann._blocks(16 * 8 * 12)([batch]))
+    pairs = [pa.RecordBatch.from_arrays([*b.columns, *q.columns], names=[*b.schema.names, *q.schema.names]) for b in blocks for q in ann._joined(ann._queries(blocks))]
+    whole = list(ann._search(5)(pairs))
+    assert sum(x.num_rows for x in whole) == 5 * 5
+    monkeypatch.setattr(ann, "HELD_ROWS", 0)
+    early = list(ann._search(5)(pairs))
+    assert len(early) == len(pairs) > len(whole)
+
+    def ranked(found):
+        per: dict = {}
+        for r in (r for x in found for r in x.to_pylist()):
+            per.setdefault(r["query_id"], []).append((-round(r["score"], 12), r["vec_id"]))
+        return {q: sorted(x)[:5] for q, x in per.items()}
+
+    assert ranked(early) == ranked(whole)
+    assert {(q, i) for q, found in ranked(whole).items() for _, i in found} == {(e[0], e[2]) for e in expected}
+
+
+def test_row_groups_of_scratch_tables(spark):
+    """Rows of a block's size lie a few to a row group, unpacked, so that readers hold as much as the files say."""
+    import pyarrow.parquet as pq
+
+    wide = spark.range(40).selectExpr("id", "cast(repeat('x', 10000) as binary) AS data").coalesce(1)
+    found = common.written(wide, "wide", 8)
+    files = [f.removeprefix("file://") for f in found.inputFiles()]
+    metas = [pq.ParquetFile(f).metadata for f in files]
+    assert [m.row_group(g).num_rows for m in metas for g in range(m.num_row_groups)] == [8] * 5
+    assert sum(m.row_group(g).column(1).total_compressed_size for m in metas for g in range(m.num_row_groups)) >= 400000
+    assert found.count() == 40 and found.filter("length(data) = 10000").count() == 40
+
+
 def test_recall(spark):
     """Against brute force on a table of many blocks."""
     from pyspark.sql import functions as F
