@@ -15,13 +15,13 @@ def result_type(rule: Rule) -> str:
 
 
 def json_number(x: Column) -> Column:
-    """A double as JSON text: whole numbers below 1e15 with one decimal, others to 15 significant digits, null for what is not finite."""
+    """A double as JSON text: whole numbers below 1e15 with one decimal (and -0.0 with its sign), others to 15 significant digits, null for what is not finite; no value for no value."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
     exponent = F.floor(F.log10(F.abs(x))).cast("int")
     fixed = F.regexp_replace(F.format_string("%.15f", x), r"0+$", "")
     short = F.regexp_replace(F.format_string("%.14e", x), r"\.?0*e", "e")
-    text = F.when(whole, F.concat(F.floor(x).cast("decimal(20,0)").cast("string"), F.lit(".0"))).when(exponent.between(-5, 14), F.rtrim(F.regexp_replace(F.round(x.cast("decimal(38,18)"), 15).cast("string"), r"0+$", ""))).otherwise(short)
-    return F.when(F.isnan(x) | F.abs(x).isin(float("inf")), "null").otherwise(F.coalesce(text, fixed))
+    text = F.when(whole, F.format_string("%.1f", x)).when(exponent.between(-5, 14), F.rtrim(F.regexp_replace(F.round(x.cast("decimal(38,18)"), 15).cast("string"), r"0+$", ""))).otherwise(short)
+    return F.when(x.isNotNull(), F.when(F.isnan(x) | F.abs(x).isin(float("inf")), "null").otherwise(F.coalesce(text, fixed)))
 
 
 def as_text(values: Column, kind: str) -> Column:

@@ -211,3 +211,31 @@ def test_combined_records(spark):
     pages = spark.createDataFrame([(1, "u", "<p>1</p><b>x</b>")], "page_id long, url string, html string")
     config = {"queries": {"b": {"selector": "b", "extract": [{"name": "v", "rule": {"text": True}}]}, "a": {"selector": "p", "extract": [{"name": "v", "rule": {"text": True, "transform": ["int"]}}]}}}
     assert [(r["_name"], r["v"]) for r in Engine(config).records(pages).orderBy("_query").collect()] == [("a", '{"v":[1]}'), ("b", '{"v":["x"]}')]
+
+
+def test_json_doubles_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    odd = [None, 0.0, -0.0, 0.49999999999999994, -0.49999999999999994, 5e-324, -5e-324, 999999999999999.4, 999999999999999.5, -1e15, 2.0**52 - 0.5, 2.0**52 + 1, 2.0**53 - 1, 9.3e18, -1e20, 1e23, float("nan"), float("inf"), float("-inf")]
+    values = [i / 100 for i in range(-300, 301)] + odd
+    spark.createDataFrame(list(enumerate(values)), "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = dict(map(tuple, e.queries()["json_doubles"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert got == dict(con.execute(e.oracle_sql()["json_doubles"]).fetchall())
+    assert {values[i]: v for i, v in got.items() if i in (250, 251, 299, 301)} == {-0.5: "-1.0", -0.49: "-0.0", -0.01: "-0.0", 0.01: "0.0"}
+    con.close()
+
+
+def test_json_number_zero_and_null(spark):
+    from pyspark.sql import functions as F
+
+    from pagequery.functions.aggregates import json_number
+    from pagequery.sinks import json_lines
+
+    values = [-0.0, 0.0, None, -1500.0, 999999999999999.0, 1e15, float("nan"), float("-inf")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").coalesce(1)
+    assert [r[0] for r in rows.select(json_number(F.col("x"))).collect()] == ["-0.0", "0.0", None, "-1500.0", "999999999999999.0", "1e+15", "null", "null"]
+    assert [r["value"] for r in json_lines(rows.select("x")).collect()] == [f'{{"x": {v}}}' for v in ("-0.0", "0.0", "null", "-1500.0", "999999999999999.0", "1e+15", "null", "null")]
